@@ -24,9 +24,13 @@ def query(f: Query) -> Query:
     return f
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Means and ratios to six decimals: sums depend on the order of addition."""
-    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if c in columns else c for c in df.columns])
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Means and ratios to six decimals: sums depend on the order of addition.
+
+    Rounded to nine first, so that a tie at the sixth decimal falls the same way
+    whatever that order was.
+    """
+    return df.selectExpr(*[f"round(round({c}, 9), 6) AS {c}" if c in columns else c for c in df.columns])
 
 
 def doubles(df: DataFrame) -> list[str]:
