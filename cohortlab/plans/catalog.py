@@ -8,15 +8,38 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions import contract as k
 from cohortlab.functions.columns import died, exprs, lines, nan_to_null, percent_text, quoted
-from cohortlab.models import split
+from cohortlab.models import attribution, generalise, linear, prepare, split, trees
 from cohortlab.operators import audit, cohort as co, metrics, rates
 from cohortlab.operators.readings import first_day, restrict
 from cohortlab.plans import features as fe, reports
-from cohortlab.sources import standin
+from cohortlab.plans.study import GROUP, Study, fold_summary, quality_row
+from cohortlab.session import fresh_path, materialise
+from cohortlab.sources import readers, schemas, sinks, standin
 from cohortlab.sources.readers import Tables
 
+# Weights (log-odds per standard deviation) of the scoring example.
+REASON_INTERCEPT = -2.6
+REASON_WEIGHTS = {
+    "age": 0.45, "gender_male": 0.05, "bmi": -0.08, "gcs_mean": -0.52, "hr_mean": 0.31,
+    "sbp_mean": -0.24, "map_mean": -0.11, "rr_mean": 0.27, "spo2_mean": -0.19, "temp_mean": -0.22,
+    "bun_max": 0.38, "creatinine_max": 0.09, "glucose_min": 0.07, "wbc_mean": 0.16,
+}
+# Each boosting round is a few Spark jobs. The search queries run this many rounds
+# per fit; the library's own limits are those of the configurations.
+SEARCH_ROUNDS = 8
+SEARCH_PATIENCE = 5
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+_STUDIES: dict[tuple[str, str], Study] = {}
+
+
+def study(spark: SparkSession, sf_dir: str) -> Study:
+    """The study over one folder, kept for the life of the Spark application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STUDIES:
+        _STUDIES[key] = Study(spark, standin.tables(spark, sf_dir))
+    return _STUDIES[key]
 
 
 def query(f: Query) -> Query:
@@ -238,7 +261,7 @@ MEAN_COLUMNS = [f"{p}_mean" for p in k.VITAL_PREFIXES]
 @query
 def describe_vitals(spark, sf_dir):
     """Per-stay means of the seven vitals, one row per variable."""
-    features = fe.feature_table(standin.tables(spark, sf_dir))
+    features = materialise(fe.feature_table(standin.tables(spark, sf_dir)).select(MEAN_COLUMNS), "means")
     df = audit.describe(audit.to_long(features, MEAN_COLUMNS), len(MEAN_COLUMNS))
     return rounded(df, *doubles(df))
 
@@ -338,10 +361,25 @@ def source_gain(spark, sf_dir):
 @query
 def feature_defaults(spark, sf_dir):
     """Median of each numeric feature, mode of each category."""
-    features = fe.feature_table(standin.tables(spark, sf_dir))
+    features = materialise(fe.feature_table(standin.tables(spark, sf_dir)), "features")
     return rounded(audit.feature_defaults(features, k.NUMERIC_FEATURES, k.CATEGORICAL), "median")
 
 
+@query
+def defaults_document(spark, sf_dir):
+    """The same defaults, written as a JSON document and read back from it."""
+    defaults = audit.feature_defaults(study(spark, sf_dir).features, k.NUMERIC_FEATURES, k.CATEGORICAL)
+    path = fresh_path(spark, "defaults")
+    sinks.write_defaults(defaults.selectExpr("feature", "coalesce(cast(median AS string), mode) AS default_value"), path)
+    named = ", ".join(quoted(c) for c in k.CATEGORICAL)
+    back = readers.read_defaults(spark, path).selectExpr(
+        "feature",
+        f"CASE WHEN feature NOT IN ({named}) THEN try_cast(default_value AS double) END AS median",
+        f"CASE WHEN feature IN ({named}) THEN default_value END AS mode",
+    )
+    return rounded(back, "median")
+
+
 # --- splits ------------------------------------------------------------------
 
 def _labelled(t: Tables) -> DataFrame:
@@ -455,3 +493,169 @@ def model_comparison(spark, sf_dir):
     both = metrics.align_predictions(first, second, "id", ("baseline", "challenger"))
     df = metrics.model_comparison(both, "baseline")
     return rounded(df, *doubles(df))
+
+
+# --- preparation and scoring with fixed weights ---------------------------------
+
+@query
+def impute_scale(spark, sf_dir):
+    """The 14 form features, imputed and scaled from the train rows."""
+    s = study(spark, sf_dir)
+    scaling = prepare.fit_scaling(s.train, k.DEMO_FEATURES)
+    scaled = scaling.stage().transform(s.rows)
+    names = [prepare.scaled_name(c) for c in k.DEMO_FEATURES]
+    return rounded(scaled.select(k.STAY_ID, "split", *names), *names)
+
+
+@query
+def linear_reasons(spark, sf_dir):
+    """Contribution of each feature to each test row, at the fixed weights."""
+    s = study(spark, sf_dir)
+    scaling = prepare.fit_scaling(s.train, k.DEMO_FEATURES)
+    return rounded(linear.contributions(s.test, k.STAY_ID, scaling, REASON_WEIGHTS), "contribution")
+
+
+@query
+def batch_score_bands(spark, sf_dir):
+    """Probability, risk band and the three largest reasons of every row."""
+    s = study(spark, sf_dir)
+    scaling = prepare.fit_scaling(s.train, k.DEMO_FEATURES)
+    scored = linear.scored_with_reasons(s.rows, k.STAY_ID, scaling, REASON_WEIGHTS, REASON_INTERCEPT)
+    reasons = [f"reasons[{i}].feature AS reason_{i + 1}" for i in range(3)]
+    return rounded(scored.selectExpr(k.STAY_ID, "p", "risk", *reasons), "p")
+
+
+# --- fitted models --------------------------------------------------------------
+
+@query
+def lr_train_eval(spark, sf_dir):
+    s = study(spark, sf_dir)
+    df = quality_row(s.logistic_predictions(), "logistic regression")
+    return rounded(df, *doubles(df))
+
+
+@query
+def lr_thresholds(spark, sf_dir):
+    """The three threshold strategies on the fitted model's test predictions."""
+    scored = materialise(study(spark, sf_dir).logistic_predictions(), "predictions")
+    df = metrics.threshold_table(scored)
+    return rounded(df, *doubles(df))
+
+
+@query
+def lr_cv(spark, sf_dir):
+    df = fold_summary(study(spark, sf_dir).logistic_folds(), "logistic regression, 14 features")
+    return rounded(df, *doubles(df))
+
+
+@query
+def demo_model(spark, sf_dir):
+    s = study(spark, sf_dir)
+    df = quality_row(s.demo_predictions(), "logistic regression, 14 features")
+    return rounded(df, *doubles(df))
+
+
+@query
+def gbt_train_eval(spark, sf_dir):
+    """The boosted model beside the linear one, on the same test rows."""
+    s = study(spark, sf_dir)
+    both = metrics.align_predictions(
+        s.logistic_predictions(), s.boosted_predictions(), k.STAY_ID, ("logistic", "boosted")
+    )
+    df = metrics.model_comparison(materialise(both, "predictions"), "logistic")
+    return rounded(df, *doubles(df))
+
+
+@query
+def gbt_early_stop(spark, sf_dir):
+    """Training that stops on the nested validation rows."""
+    s = study(spark, sf_dir)
+    model = s.early_stopped(trees.Boosting("early", 500, 0.05, 31, 20))
+    df = quality_row(trees.score_boosted(model, s.test_rows(), [k.STAY_ID]), "boosted, early stop")
+    df = df.withColumn("n_trees", F.lit(model.getNumTrees))
+    return rounded(df, *[c for c in doubles(df)])
+
+
+@query
+def gbt_rounds(spark, sf_dir):
+    """The number of trees by cross-validated AUC."""
+    s = study(spark, sf_dir)
+    config = trees.Boosting("default", SEARCH_ROUNDS, 0.05, 31, 20)
+    per_fold = trees.cross_validated_rounds(s.train_rows(), config, s.max_categories)
+    df = trees.best_rounds(per_fold, SEARCH_PATIENCE)
+    return rounded(df, "auc_mean", "auc_std")
+
+
+@query
+def gbt_sweep(spark, sf_dir):
+    s = study(spark, sf_dir)
+    df = trees.sweep(s.train_rows(), rounds=SEARCH_ROUNDS, patience=SEARCH_PATIENCE, max_categories=s.max_categories)
+    return rounded(materialise(df, "sweep"), "auc_mean", "auc_std")
+
+
+@query
+def attributions(spark, sf_dir):
+    return rounded(study(spark, sf_dir).attributions, "phi")
+
+
+@query
+def importance(spark, sf_dir):
+    return rounded(attribution.importance(study(spark, sf_dir).attributions, top=20), "mean_abs_shap")
+
+
+@query
+def extreme_reasons(spark, sf_dir):
+    s = study(spark, sf_dir)
+    df = attribution.extreme_reasons(s.attributions, s.boosted_predictions(), k.STAY_ID, s.base_value)
+    return rounded(df, "p", "base_value", "phi")
+
+
+@query
+def leave_one_group_out(spark, sf_dir):
+    return rounded(study(spark, sf_dir).cross_group, "test_roc_auc", "test_pr_auc")
+
+
+@query
+def generalisation_summary(spark, sf_dir):
+    s = study(spark, sf_dir)
+    inside = metrics.ranking_quality(s.boosted_predictions()).first()["roc_auc"]
+    df = generalise.summary(s.cross_group, inside)
+    return rounded(df, "mean_roc_auc", "std_roc_auc", "in_distribution_roc_auc")
+
+
+@query
+def generalisation_report(spark, sf_dir):
+    return generalise.presentation(study(spark, sf_dir).cross_group)
+
+
+# --- sinks ----------------------------------------------------------------------
+
+@query
+def sink_reload(spark, sf_dir):
+    """Write each product, read it back, and compare rows and columns."""
+    s = study(spark, sf_dir)
+    checks = []
+
+    def check(name: str, df: DataFrame, path: str) -> None:
+        checks.append(sinks.reload_check(df, path).selectExpr(f"'{name}' AS sink", "*"))
+
+    path = fresh_path(spark, "features-final")
+    sinks.write_table(s.features, path, schemas.feature_table())
+    check("features", s.features, path)
+
+    path = fresh_path(spark, "model")
+    sinks.save_model(s.demo, path)
+    again = linear.score(sinks.load_model(path), s.test, k.STAY_ID, k.TARGET)
+    predictions = again.selectExpr(k.STAY_ID, "y_true", "p AS y_pred_proba")
+    path = fresh_path(spark, "predictions")
+    sinks.write_table(predictions, path, schemas.PREDICTIONS)
+    check("predictions of the reloaded model", predictions, path)
+
+    thresholds = metrics.thresholds(materialise(s.demo_predictions(), "predictions"))
+    path = fresh_path(spark, "thresholds")
+    sinks.write_table(thresholds, path)
+    check("thresholds", thresholds, path)
+    out = checks[0]
+    for other in checks[1:]:
+        out = out.unionByName(other)
+    return out

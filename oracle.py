@@ -490,3 +490,47 @@ ORACLE["model_comparison"] = f"""select model, round(roc_auc, 6) as roc_auc, rou
     round(roc_auc_delta, 6) as roc_auc_delta, round(average_precision_delta, 6) as average_precision_delta
     from ({ORACLE["model_comparison"].replace("round(m.roc_auc - b.roc_auc, 6)", "(m.roc_auc - b.roc_auc)")
           .replace("round(m.average_precision - b.average_precision, 6)", "(m.average_precision - b.average_precision)")})"""
+
+
+# --- preparation and scoring at fixed weights ---
+_WEIGHTS = {
+    "age": 0.45, "gender_male": 0.05, "bmi": -0.08, "gcs_mean": -0.52, "hr_mean": 0.31,
+    "sbp_mean": -0.24, "map_mean": -0.11, "rr_mean": 0.27, "spo2_mean": -0.19, "temp_mean": -0.22,
+    "bun_max": 0.38, "creatinine_max": 0.09, "glucose_min": 0.07, "wbc_mean": 0.16,
+}
+
+
+def _scaled() -> str:
+    """Train medians, then train mean and population spread of the filled columns."""
+    med = ", ".join(f"coalesce(median({c}::double) filter (where split = 'train'), 0) over () as med_{c}" for c in _DEMO_FEATURES)
+    med = med.replace("filter (where split = 'train'), 0) over ()", "filter (where split = 'train') over (), 0)")
+    fill = ", ".join(f"coalesce({c}::double, med_{c}) as f_{c}" for c in _DEMO_FEATURES)
+    z = ", ".join(
+        f"(f_{c} - avg(f_{c}) filter (where split = 'train') over ())"
+        f" / case when stddev_pop(f_{c}) filter (where split = 'train') over () > 0"
+        f" then stddev_pop(f_{c}) filter (where split = 'train') over () else 1 end as z_{c}" for c in _DEMO_FEATURES
+    )
+    return (
+        f"{_SPLIT}, m as (select raw_features.*, split, {med} from raw_features"
+        f" join splitted using (patientunitstayid)), f as (select patientunitstayid, split, {fill} from m),"
+        f" z as (select patientunitstayid, split, {z} from f)"
+    )
+
+
+_LONG_Z = " union all ".join(
+    f"select patientunitstayid, split, '{c}' as feature, {w}::double * z_{c} as contribution from z" for c, w in _WEIGHTS.items()
+)
+ORACLE["impute_scale"] = _with("cohort raw_features", "select patientunitstayid, split, " + ", ".join(
+    f"round(round(z_{c}, 9), 6) as z_{c}" for c in _DEMO_FEATURES) + " from z", _scaled())
+ORACLE["linear_reasons"] = _with(
+    "cohort raw_features",
+    f"select patientunitstayid, feature, round(round(contribution, 9), 6) as contribution from ({_LONG_Z}) where split = 'test'",
+    _scaled())
+ORACLE["batch_score_bands"] = _with("cohort raw_features", f"""
+    select patientunitstayid, round(round(p, 9), 6) as p,
+           case when p < 0.10 then 'Low risk' when p < 0.25 then 'Moderate risk' else 'High risk' end as risk,
+           r[1] as reason_1, r[2] as reason_2, r[3] as reason_3
+    from (select patientunitstayid, 1 / (1 + exp(-(-2.6 + sum(contribution)))) as p,
+                 list(feature order by abs(contribution) desc, feature) as r
+          from ({_LONG_Z}) group by 1)""", _scaled())
+ORACLE["defaults_document"] = ORACLE["feature_defaults"]
