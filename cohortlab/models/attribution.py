@@ -11,12 +11,14 @@ partition.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlab.functions.columns import exprs, lines
 from cohortlab.models.trees import node_table
 
+# Workers get these functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A margin counts twice in Spark's log-odds: p = 1 / (1 + exp(-2 * margin)).
 LOG_ODDS = 2.0
 

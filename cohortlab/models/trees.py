@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -9,6 +10,7 @@ from typing import TypeVar
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
@@ -20,6 +22,9 @@ from cohortlab.functions.columns import exprs
 from cohortlab.operators.metrics import ranking_quality
 from cohortlab.session import fresh_path
 
+# Workers get these functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The final configuration and the four of the sweep. Spark grows
 # trees by level, so a leaf limit becomes the depth that holds as many leaves.
 FILL_VALUE = -1.0
@@ -105,13 +110,15 @@ def fit_boosted(
     With ``validation`` (a boolean column) training stops once the loss on those
     rows no longer improves.
     """
+    stopping = {} if validation is None else {
+        "validationIndicatorCol": validation, "validationTol": validation_tol
+    }
     learner = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=config.rounds,
         stepSize=config.learning_rate, maxDepth=config.depth, minInstancesPerNode=config.min_rows,
         maxBins=max(32, max_categories + 2), seed=config.seed, leafCol="leaf",
+        **stopping,
     )
-    if validation is not None:
-        learner = learner.setValidationIndicatorCol(validation).setValidationTol(validation_tol)
     return learner.fit(rows)
 
 
