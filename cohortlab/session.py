@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, name: str = "cohortlab") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores) if cores != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -107,6 +107,8 @@ CELLS = {
     },
 }
 
+_SALTS = 16
+
 # The columns of the test tables that the cells read.
 _SOURCES = {
     "nation": "n_nationkey int, n_regionkey int",
@@ -144,8 +146,12 @@ class StandinTables:
 
     @cached_property
     def patient(self) -> DataFrame:
-        orders, customer = self.source("orders"), self.source("customer")
-        return self._select("patient", orders.join(customer, F.expr("o_custkey = c_custkey")))
+        """Orders with their customer. The key is salted: one customer may hold a
+        third of all orders, and an aggregate on the customer may follow."""
+        orders = self.source("orders").selectExpr("*", f"pmod(hash(o_orderkey), {_SALTS}) AS _salt")
+        customer = self.source("customer").selectExpr("*", f"explode(sequence(0, {_SALTS - 1})) AS _c_salt")
+        same = F.expr("o_custkey = c_custkey AND _salt = _c_salt")
+        return self._select("patient", orders.join(customer, same))
 
     @cached_property
     def hospital(self) -> DataFrame:
