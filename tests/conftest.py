@@ -15,6 +15,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")  # plan checks read paths and filters
     yield session
     session.stop()
 

@@ -130,3 +130,4 @@ def test_invariants_on_the_test_tables(spark, small):
             f" OR {p}_min > {p}_mean + 1e-9 OR {p}_mean > {p}_max + 1e-9 OR {p}_count <= 0"
         )
         assert bad.count() == 0, p
+    df.unpersist()
