@@ -534,3 +534,27 @@ ORACLE["batch_score_bands"] = _with("cohort raw_features", f"""
                  list(feature order by abs(contribution) desc, feature) as r
           from ({_LONG_Z}) group by 1)""", _scaled())
 ORACLE["defaults_document"] = ORACLE["feature_defaults"]
+
+
+def _decimal_ties(sql: str) -> str:
+    """``round(x, 6)`` by way of a nine-digit decimal, as the queries round, so ties agree."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + len("round")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if depth == 0:
+                break
+        body = _decimal_ties(sql[start + len("round("):end - 1])
+        head, _, digits = body.rpartition(",")
+        if digits.strip() == "6":
+            text = f"round(cast({head} as decimal(28, 9)), 6)::double"
+        else:
+            text = f"round({body})"
+        out += [sql[at:start], text]
+        at = end
+    return "".join(out) + sql[at:]
+
+
+ORACLE = {name: _decimal_ties(sql) for name, sql in ORACLE.items()}
