@@ -109,9 +109,9 @@ class Study:
     def boosted_predictions(self) -> DataFrame:
         return trees.score_boosted(self.boosted, self.test_rows(), [k.STAY_ID])
 
-    def early_stopped(self, config: trees.Boosting) -> GBTClassificationModel:
-        return trees.fit_boosted(
-            self.train_rows(), config, self.max_categories, validation="is_validation", validation_tol=0.01
+    def early_stopped(self, config: trees.Boosting) -> DataFrame:
+        return trees.early_stopped(
+            self.train_rows(), self.test_rows(), config, max_categories=self.max_categories
         )
 
     # --- explanation and generalisation ---

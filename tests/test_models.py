@@ -173,6 +173,19 @@ def test_early_stopping_uses_no_more_than_the_limit(toy, boosted):
     assert model.getNumTrees < 8
 
 
+def test_early_stopped_round_is_the_best_on_validation(toy, boosted):
+    _, rows = boosted
+    marked = rows.selectExpr("*", "id % 4 = 0 AS is_validation")
+    config = trees.Boosting("stop", rounds=5, learning_rate=0.3, leaves=8, min_rows=15)
+    r = trees.early_stopped(marked, rows.where("id % 3 = 0"), config, 30, 4).first()
+    model = trees.fit_boosted(marked.where("NOT is_validation"), config, 4)
+    per_round = trees.ranking_quality(
+        trees.staged_margins(model, marked.where("is_validation"), []), by=["round"]).collect()
+    best = max(per_round, key=lambda x: (x.roc_auc, -x["round"]))
+    assert r.n_trees == best["round"] and r.validation_roc_auc == pytest.approx(best.roc_auc)
+    assert r.n_test == 200
+
+
 def test_leave_one_group_out(spark):
     rows = [("b", 1), ("b", 0), ("b", 0), ("a", 0), ("a", 0), ("c", 1), ("c", 0), (None, 1)]
     df = spark.createDataFrame(rows, "g string, y int").selectExpr("*", "cast(y AS double) AS score")
