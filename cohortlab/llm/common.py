@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.session import materialise
 
-__all__ = ["WORD", "ascii_lower", "materialise", "salted_join", "text_of", "without_lines", "words", "xxhash128"]
+__all__ = ["WORD", "ascii_lower", "materialise", "salted_join", "ship", "text_of", "without_lines", "words", "xxhash128"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,3 +67,8 @@ def without_lines(table: DataFrame, gone: str, docs: DataFrame) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         table = table.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return table.select(*named(docs.columns))
+
+
+def ship(module: str) -> None:
+    """Send a module's functions to workers by value: they needn't have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
