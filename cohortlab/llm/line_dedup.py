@@ -9,7 +9,7 @@ position) stays, and the lines of the later ones go. Overlapping windows join in
 the longest repeated runs. No pairs of documents are made: each window is compared with
 the first of its kind only.
 
-Lines without a word stay where they are and neither break nor lengthen a run.
+Lines without a word neither break nor lengthen a run; those inside a repeated run go with it.
 """
 
 from __future__ import annotations

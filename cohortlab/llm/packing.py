@@ -31,7 +31,9 @@ class WordTokens:
     """Ids of a text by a tokenizer that never joins across white space, as bytes (uint32).
 
     The tokenizer's own pattern keeps words apart and drops white space, so the ids of a
-    text are those of its words in turn; words repeat, so their ids are remembered.
+    text are those of its words in turn. Words repeat, so their ids are remembered. Of
+    a new word the library encodes the letters and the punctuation behind them, which its
+    pattern keeps apart as well; a word of another kind is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -39,29 +41,47 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.words = re.compile(r"[^ \t\n\x0b\x0c\r]+").findall
         #: str.split() also splits at these four, which are no white space to the pattern.
         self.separators = re.compile("[\x1c-\x1f]").search
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = b"".join([i.to_bytes(4, "little") for i in found.ids])
+        #: Latin letters, then punctuation that begins neither a contraction nor a special token.
+        self.plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?#*$%&)\"]*)").fullmatch
+        #: The byte-level alphabet: bytes without a printable Latin-1 character are moved to 256 and up, in order.
+        hidden = [n for n in range(256) if not (0x21 <= n <= 0x7E or 0xA1 <= n <= 0xAC or 0xAE <= n)]
+        self.letters = {n: chr(256 + k) for k, n in enumerate(hidden)}
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            text = part.lower().encode().decode("latin-1").translate(self.letters)
+            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(text)])
+            if len(self.parts) >= WORDS_KEPT:
+                self.parts.clear()
+            if len(part) <= WORD_CHARS:
+                self.parts[part] = found
+        return found
+
+    def _new(self, word: str) -> bytes:
+        m = self.plain(word)
+        if not m or len(word) > 1000:
+            return b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        letters, rest = m.groups()
+        return self._part(letters) + self._part(rest) if rest else self._part(letters)
 
     def __call__(self, text: str) -> bytes:
         words = self.words(text) if self.separators(text) else text.split()
         ids = list(map(self.known.get, words))
-        if None not in ids:
-            return b"".join(ids)
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        self._learn(new)
-        out = b"".join(map(self.known.__getitem__, words))
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        else:
-            for w in new:
-                if len(w) > WORD_CHARS:
-                    del self.known[w]
-        return out
+        if None in ids:
+            if len(self.known) >= WORDS_KEPT:
+                self.known.clear()
+            for n, found in enumerate(ids):
+                if found is None:
+                    word = words[n]
+                    ids[n] = self.known.get(word) or self._new(word)
+                    if len(word) <= WORD_CHARS:
+                        self.known[word] = ids[n]
+        return b"".join(ids)
 
 
 def binary_cuts(tokens: int, full: int) -> list[tuple[int, int]]:

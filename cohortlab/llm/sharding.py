@@ -4,7 +4,7 @@ Documents are linked when they share a group (here: equal texts). In each round
 counts how the members of each group lie over the shards; every document that isn't in
 the shard where most of its group lies asks to move there, if that raises the number of
 its neighbours beside it. A shard admits movers up to its quota, in an order fixed by
-hash; the quota is cut at a hash bucket, so no shard's applicants are ever sorted in
+hash; the quota is its even share less the linked documents that stay there, and is cut at a hash bucket, so no shard's applicants are ever sorted in
 one task. A last pass moves the rows above each shard's exact share, unlinked
 ones first, to the shards below theirs, and numbers the rows of each shard.
 """
@@ -42,7 +42,8 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 8, slack: float = 0.02
         asks = salted_join(state, own, ["_group", "_shard"], F.col("_row"), "left", salts=8)
         asks = asks.withColumn("_at", F.when(F.col("_to").isNotNull(), _bucket(F.xxhash64(F.lit("move"), "_row"))))
         asks = materialise(asks, "asks")
-        loads = asks.groupBy("_shard").agg(F.count("*").alias("_load"))
+        # Unlinked rows make room in the last pass; linked ones that don't ask to leave take it up.
+        loads = asks.filter("_members IS NOT NULL AND _to IS NULL").groupBy("_shard").agg(F.count("*").alias("_load"))
         queue = asks.filter("_to IS NOT NULL").groupBy("_to", "_at").agg(F.count("*").alias("_n"))
         queue = queue.withColumn("_ahead", F.sum("_n").over(W.partitionBy("_to").orderBy("_at")))
         free = loads.select(F.col("_shard").alias("_to"), (F.lit(cap) - F.col("_load")).alias("_free"))

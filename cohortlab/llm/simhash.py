@@ -164,9 +164,9 @@ def _small_linked(group: np.ndarray, x: np.ndarray, home: np.ndarray, distance:
 def links(distinct: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """(a, b): edges that join all fingerprints (bits) linked at ``distance`` or fewer bits."""
     rows = materialise(anchored(distinct, distance), "anchors")
-    counts = rows.groupBy("anchor").agg(F.count("*").alias("_n"), F.sum(F.col("home").cast("int")).alias("_homes"))
-    busy = counts.filter("_n > 1 AND _homes > 0").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).drop("_n", "_homes")
-    rows = salted_join(rows, busy, ["anchor"], F.col("bits"), salts=4)
+    hot = rows.groupBy("anchor").agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    hot = hot.select("anchor", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    rows = salted_join(rows, hot, ["anchor"], F.col("bits"), "left", salts=4).withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     # An anchor of k blocks becomes the pairs of its blocks, each with the rows of both.
     own = F.pmod(F.xxhash64("bits"), F.col("_blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
