@@ -2,8 +2,8 @@
 
 Documents are linked when they share a group (here: equal texts). In each round a join
 counts how the members of each group lie over the shards; every document that isn't in
-the shard where most of its group lies asks to move there, if that raises the number of
-its neighbours beside it. A shard admits movers up to its quota, in an order fixed by
+the shard where most of its group lies, among the shards with room, asks to move there, if
+that raises the number of its neighbours beside it. A shard admits movers up to its quota, in an order fixed by
 hash; the quota is its even share less the linked documents that stay there, and is cut at a hash bucket, so no shard's applicants are ever sorted in
 one task. A last pass moves the rows above each shard's exact share, unlinked
 ones first, to the shards below theirs, and numbers the rows of each shard.
@@ -37,7 +37,9 @@ def propagate(rows: DataFrame, shards: int, rounds: int = 8, slack: float = 0.02
     cap = int(total / shards * (1 + slack)) + 1
     for _ in range(rounds if linked else 0):
         held = state.filter("_members IS NOT NULL").groupBy("_group", "_shard").agg(F.count("*").alias("_n"))
-        best = held.groupBy("_group").agg(F.max(F.struct("_n", F.xxhash64("_group", "_shard").alias("_tie"), "_shard")).alias("_best"))
+        # A shard that linked rows fill takes no more: its groups gather in their next best. One row a shard.
+        full = held.groupBy("_shard").agg(F.sum("_n").alias("_load")).filter(F.col("_load") >= F.lit(total / shards)).select("_shard")
+        best = held.join(F.broadcast(full), "_shard", "left_anti").groupBy("_group").agg(F.max(F.struct("_n", F.xxhash64("_group", "_shard").alias("_tie"), "_shard")).alias("_best"))
         own = held.join(best, "_group").filter("_best._shard <> _shard").select("_group", "_shard", F.col("_best._shard").alias("_to"), (F.col("_best._n") - F.col("_n") + 1).alias("_gain")).filter("_gain > 0")
         asks = salted_join(state, own, ["_group", "_shard"], F.col("_row"), "left", salts=8)
         asks = asks.withColumn("_at", F.when(F.col("_to").isNotNull(), _bucket(F.xxhash64(F.lit("move"), "_row"))))
