@@ -49,12 +49,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` once and read it back; ``options`` are the Parquet writer's.
 
     The written table cuts the lineage, survives lost executors, and, unlike a
     row-based checkpoint, still lets later readers prune columns.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
