@@ -155,4 +155,4 @@ def numbered(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Sequences of token ids: the rows of ``pieces``, numbered."""
-    return numbered(materialise(pieces(docs, tokenizer, **options), "pieces"), options.get("id_col", "doc_id"))
+    return numbered(materialise(pieces(docs, tokenizer, **options), "pieces", compression="zstd"), options.get("id_col", "doc_id"))
