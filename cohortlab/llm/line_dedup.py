@@ -1,7 +1,8 @@
 """Repeated runs of lines by winnowing over line hashes, with built-in expressions only.
 
-A window is the shortest run of lines from a given line on that holds ``min_words``
-words. Of each window the line with the smallest hash is its fingerprint, so any run of
+A window is the shortest run of lines from a given line on, or up to a given line, that
+holds ``min_words`` words, so windows of both kinds cover every longer repeated run from
+its first line to its last. Of each window the line with the smallest hash is its fingerprint, so any run of
 that many words, wherever it stands, has at least one fingerprint and the same one.
 Fingerprints that occur once are done with. Around the others the match is extended to
 both ends of every window they stand for; of equal windows the first in (doc_id,
@@ -37,13 +38,22 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select("doc_id", "_key", "_at", "_n", a.alias("_a"), b.alias("_b")).groupBy("doc_id", "_key", "_at").agg(*[F.first(c).alias(c) for c in ("_n", "_a", "_b")])
     of_doc = W.partitionBy("doc_id", "_key")
     lines = lines.withColumn("_to", F.sum("_n").over(of_doc.orderBy("_at"))).withColumn("_from", F.col("_to") - F.col("_n"))
-    reach = of_doc.orderBy("_from").rangeBetween(0, min_words - 1)
-    out = lines.select(
-        "doc_id", "_key", F.col("_at").alias("first"), F.max("_at").over(reach).alias("last"),
-        (F.max("_to").over(reach) - F.col("_from")).alias("_words"),
-        F.min(F.struct("_a", "_at")).over(reach).alias("_min"),
-        F.collect_list("_a").over(reach).alias("_as"), F.collect_list("_b").over(reach).alias("_bs"),
-    ).filter(F.col("_words") >= min_words)
+    ahead = of_doc.orderBy("_from").rangeBetween(0, min_words - 1)
+    behind = of_doc.orderBy("_to").rangeBetween(1 - min_words, 0)
+
+    def run(reach) -> Column:
+        return F.struct(
+            F.min("_at").over(reach).alias("first"), F.max("_at").over(reach).alias("last"),
+            (F.max("_to").over(reach) - F.min("_from").over(reach)).alias("_words"),
+            F.min(F.struct("_a", "_at")).over(reach).alias("_min"),
+            F.collect_list("_a").over(reach).alias("_as"), F.collect_list("_b").over(reach).alias("_bs"),
+        )
+
+    # A run back that ends where the run on from its first line ends is that one again.
+    out = lines.select("doc_id", "_key", "_n", run(ahead).alias("_on"), run(behind).alias("_back"))
+    on = F.when(F.col("_on._words") >= min_words, F.col("_on"))
+    back = F.when(F.col("_back._words") - F.col("_n") >= min_words, F.col("_back"))
+    out = out.select("doc_id", "_key", F.explode(F.filter(F.array(on, back), lambda x: x.isNotNull())).alias("w")).select("doc_id", "_key", "w.*")
     return out.select("doc_id", "_key", "first", "last", F.col("_min._a").alias("_print"), F.col("_min._at").alias("_at"), F.xxhash64("_as").alias("_a"), F.xxhash64(F.lit("second"), "_bs").alias("_b"))
 
 

@@ -22,6 +22,10 @@ WITH l AS (
   SELECT a.doc_id, a.pos AS first, max(b.pos) AS last, string_agg(b.line, chr(10) ORDER BY b.pos) AS content
   FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - b.n < a.upto - a.n + 50
   GROUP BY a.doc_id, a.pos, a.upto, a.n HAVING max(b.upto) - (a.upto - a.n) >= 50
+  UNION
+  SELECT a.doc_id, min(b.pos), a.pos, string_agg(b.line, chr(10) ORDER BY b.pos)
+  FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos <= a.pos AND b.upto > a.upto - 50
+  GROUP BY a.doc_id, a.pos HAVING sum(b.n) >= 50
 ), o AS (
   SELECT *, first_value(doc_id) OVER k AS d0, first_value(first) OVER k AS f0, first_value(last) OVER k AS l0
   FROM w WINDOW k AS (PARTITION BY content ORDER BY doc_id, first)

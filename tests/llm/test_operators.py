@@ -75,6 +75,10 @@ def test_line_dedup(spark, odd):
     got = {r.doc_id: (r.text, r.removed_lines, r.n_chars) for r in line_dedup(extra).collect()}
     assert got[1][1] == [] and got[2] == ("other\n\nlast", [1], 11) and got[3][1] == []
     assert got[4][0] == "x\ny" and got[5] == ("", [0, 1], 0)
+    # A short last line of a passage goes with it, and so does a short first one.
+    tail = ["start", *[" ".join(f"r{k}{i}" for i in range(40)) for k in range(2)], "short end"]
+    more = docs(spark, [(1, "\n".join(["one", *tail, "two"]), "a"), (2, "\n".join(["three", *tail, "four"]), "a")])
+    assert {r.doc_id: r.text for r in line_dedup(more).collect()}[2] == "three\nfour"
     out = line_dedup(odd)
     assert out.columns == [*odd.columns, "removed_lines"]
     rows = out.collect()
