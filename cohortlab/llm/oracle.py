@@ -107,9 +107,62 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM m
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TERMS = f"""regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{TERM}')"""
+
+RESAMPLE = f"""
+WITH k AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents
+), f AS (SELECT r, unnest(w) AS f FROM d), g AS (SELECT unnest({TERMS}) AS f FROM benchmark
+), v AS MATERIALIZED (
+  SELECT f, xor(4294967295, list_reduce(list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1]), 4294967295)) % 10000 AS bucket
+  FROM (SELECT f FROM f UNION SELECT f FROM g), k
+), s AS (SELECT bucket, count(*) AS s FROM f JOIN v USING (f) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM g JOIN v USING (f) GROUP BY bucket
+), gain AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), w AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN v USING (f) JOIN gain USING (bucket) GROUP BY r
+), z AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (r)
+), o AS (
+  SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST) AS place FROM z
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN place <= (SELECT count(*) FROM z WHERE n_features >= 20) * 10 // 100 THEN place END AS rank
+FROM o
+"""
+
+SEARCH = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+n AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+i AS MATERIALIZED (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+p AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term
+), t AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, n GROUP BY term
+), m AS (SELECT r, doc_id, 10 + (90 * len(w) * n.n) // n.l AS m FROM d, n WHERE len(w) > 0),
+s AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY item_id, r
+), o AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 ORACLE = {
     "op5_line_dedup": LINE_DEDUP,
     "op6_exact_dedup": EXACT_DEDUP,
     "op7_mixing": MIXING,
     "op10_quality_rules": QUALITY_RULES,
+    "op12_importance_resampling": RESAMPLE,
+    "op13_ranked_search": SEARCH,
 }

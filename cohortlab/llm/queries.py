@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import text_of
 from cohortlab.llm.exact_dedup import exact_dedup
 from cohortlab.llm.html_extract import main_texts
+from cohortlab.llm.licenses import license_digest, license_scan
 from cohortlab.llm.line_dedup import line_dedup
 from cohortlab.llm.mixing import mixed
 from cohortlab.llm.packing import pack
 from cohortlab.llm.quality_model import quality_scores
 from cohortlab.llm.quality_rules import judged
+from cohortlab.llm.resample import importance_resample
+from cohortlab.llm.search import ranked_search
 from cohortlab.llm.sharding import shard_documents
 from cohortlab.llm.simhash import near_duplicates
 from cohortlab.llm.token_counts import token_counts
@@ -77,10 +80,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "left_words", "base_failed", "kept")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(license_scan(_read(spark, sf_dir, "documents")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_simhash, op3_packing, op4_sharding, op5_line_dedup, op6_exact_dedup, op7_mixing, op8_quality_model,
-        op9_token_counts, op10_quality_rules,
+        op9_token_counts, op10_quality_rules, op11_license_scan, op12_importance_resampling, op13_ranked_search,
     )
 }
