@@ -1,30 +1,24 @@
-"""Boosted trees: preparation, training, staged scores and the choice of rounds."""
+"""Boosted trees: preparation, training and scores."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from typing import TypeVar
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.util import inheritable_thread_target
 
 from cohortlab.functions.columns import exprs
-from cohortlab.operators.metrics import ranking_quality
 from cohortlab.session import fresh_path
 
-# Workers get these functions by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # The final configuration and the four of the sweep. Spark grows
 # trees by level, so a leaf limit becomes the depth that holds as many leaves.
 FILL_VALUE = -1.0
@@ -51,8 +45,6 @@ SWEEP = (
     Boosting("tiny_trees", 1000, 0.05, 7, 40),
     Boosting("slow_learning", 1000, 0.02, 15, 30),
 )
-PATIENCE = 50
-EARLY_PATIENCE = 30
 T = TypeVar("T")
 R = TypeVar("R")
 
@@ -102,23 +94,12 @@ def prepared(preparation: PipelineModel, df: DataFrame, label: str, weight: floa
     )
 
 
-def fit_boosted(
-    rows: DataFrame, config: Boosting = FINAL, max_categories: int = 0,
-    validation: str | None = None, validation_tol: float = 0.0,
-) -> GBTClassificationModel:
-    """Boosted trees on prepared rows.
-
-    With ``validation`` (a boolean column) training stops once the loss on those
-    rows no longer improves.
-    """
-    stopping = {} if validation is None else {
-        "validationIndicatorCol": validation, "validationTol": validation_tol
-    }
+def fit_boosted(rows: DataFrame, config: Boosting = FINAL, max_categories: int = 0) -> GBTClassificationModel:
+    """Boosted trees on prepared rows, all of the configuration's rounds."""
     learner = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=config.rounds,
         stepSize=config.learning_rate, maxDepth=config.depth, minInstancesPerNode=config.min_rows,
-        maxBins=max(32, max_categories + 2), seed=config.seed, leafCol="leaf",
-        **stopping,
+        maxBins=max(32, max_categories + 2), seed=config.seed,
     )
     return learner.fit(rows)
 
@@ -140,110 +121,3 @@ def node_table(model: GBTClassificationModel) -> pd.DataFrame:
         "nodeData.split.numCategories AS categories",
     )
     return nodes.toPandas().sort_values(["tree", "id"]).reset_index(drop=True)
-
-
-def leaf_values(model: GBTClassificationModel) -> list[np.ndarray]:
-    """Per tree, its weighted leaf predictions in leaf order."""
-    nodes = node_table(model)
-    leaves = nodes[nodes["left"] < 0]
-    return [
-        leaves.loc[leaves["tree"] == t, "prediction"].to_numpy() * w for t, w in enumerate(model.treeWeights)
-    ]
-
-
-def staged_margins(model: GBTClassificationModel, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep, y_true, round, p): the running margin of every row after each tree.
-
-    Margins rank like probabilities. One Spark pass gives each row's leaf per
-    tree; the running sum over trees is the only step in Python, by Arrow batch.
-    """
-    values = leaf_values(model)
-
-    @F.pandas_udf("array<double>")
-    def running(leaf: pd.Series) -> pd.Series:
-        at = np.stack(leaf.to_list()).astype(int)
-        steps = np.column_stack([v[at[:, t]] for t, v in enumerate(values)])
-        return pd.Series(list(np.cumsum(steps, axis=1)))
-
-    out = model.transform(rows)
-    margins = out.select(*keep, out["label"].alias("y_true"), running(vector_to_array("leaf")).alias("_m"))
-    return margins.selectExpr(*keep, "y_true", "posexplode(_m) AS (_r, p)").selectExpr(
-        *keep, "y_true", "_r + 1 AS round", "p"
-    )
-
-
-def cross_validated_rounds(
-    rows: DataFrame, config: Boosting, max_categories: int = 0, fold: str = "fold", folds: int = 5
-) -> DataFrame:
-    """(fold, round, roc_auc): one model per fold, judged on its fold after every tree."""
-    def run(i: int) -> DataFrame:
-        model = fit_boosted(rows.where(f"{fold} != {i}"), config, max_categories)
-        return staged_margins(model, rows.where(f"{fold} = {i}"), [fold])
-
-    staged = in_parallel(run, range(folds), width=folds)
-    every = staged[0]
-    for other in staged[1:]:
-        every = every.unionByName(other)
-    return ranking_quality(every, by=[fold, "round"]).select(fold, "round", "roc_auc")
-
-
-def best_rounds(per_fold: DataFrame, patience: int = PATIENCE) -> DataFrame:
-    """(n_trees, auc_mean, auc_std) at the best round, stopping early.
-
-    The search ends at the first round with no better mean in the ``patience``
-    rounds before it. The windows run over one row per round.
-    """
-    means = per_fold.groupBy("round").agg(
-        *exprs(["avg(roc_auc) AS auc_mean", "stddev_pop(roc_auc) AS auc_std"])
-    )
-    upto = "(ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    seen = means.selectExpr(
-        "*", f"-(max(struct(auc_mean, -round)) OVER {upto}).col2 AS _best"
-    ).selectExpr("*", f"max(CASE WHEN round - _best >= {patience} THEN 1 ELSE 0 END) OVER {upto} AS _over")
-    within = seen.selectExpr("round", "auc_mean", "auc_std", f"lag(_over, 1, 0) OVER (ORDER BY round) AS _past")
-    best = "max_by(struct(round, auc_mean, auc_std), struct(auc_mean, -round)) AS b"
-    return within.where("_past = 0").agg(F.expr(best)).selectExpr(
-        "b.round AS n_trees", "b.auc_mean AS auc_mean", "b.auc_std AS auc_std"
-    )
-
-
-def early_stopped(
-    rows: DataFrame, test: DataFrame, config: Boosting, patience: int = EARLY_PATIENCE,
-    max_categories: int = 0, validation: str = "is_validation",
-) -> DataFrame:
-    """(n_trees, validation AUC, test AUC and average precision) of an early-stopped fit.
-
-    One model is fitted without the validation rows; its margins after every tree
-    say where to stop, and the same model, cut there, scores the test rows.
-    Spark's own stopping rule (``fit_boosted(validation=...)``) is cheaper, but
-    watches the loss and has no patience.
-    """
-    model = fit_boosted(rows.where(f"NOT {validation}"), config, max_categories)
-    judged = ranking_quality(staged_margins(model, rows.where(validation), []), by=["round"])
-    best = best_rounds(judged.select("round", "roc_auc"), patience).first()
-    cut = staged_margins(model, test, []).where(f"round = {best['n_trees']}")
-    return ranking_quality(cut).selectExpr(
-        f"{best['n_trees']} AS n_trees", f"{float(best['auc_mean'])!r}D AS validation_roc_auc",
-        "n AS n_test", "n_pos AS n_test_deaths", "roc_auc", "average_precision AS pr_auc",
-    )
-
-
-def sweep(
-    rows: DataFrame, configs: Sequence[Boosting] = SWEEP, rounds: int | None = None,
-    patience: int = PATIENCE, max_categories: int = 0,
-) -> DataFrame:
-    """(config, n_trees, auc_mean, auc_std, settings, is_best) per configuration."""
-    def run(config: Boosting) -> DataFrame:
-        used = config if rounds is None else replace(config, rounds=rounds)
-        found = best_rounds(cross_validated_rounds(rows, used, max_categories), patience)
-        return found.selectExpr(
-            f"'{config.name}' AS config", "n_trees", "auc_mean", "auc_std",
-            f"{config.leaves} AS num_leaves", f"{config.min_rows} AS min_child_samples",
-            f"{config.learning_rate}D AS learning_rate",
-        )
-
-    results = [run(c) for c in configs]
-    table = results[0]
-    for other in results[1:]:
-        table = table.unionByName(other)
-    return table.selectExpr("*", "row_number() OVER (ORDER BY auc_mean DESC, config) = 1 AS is_best")

@@ -1,19 +1,25 @@
 """Evaluation of scored rows: curves, areas, thresholds, calibration.
 
-Everything starts from one row per distinct score with its positives and
-negatives, so tied scores move together, as the definitions ask.
+Everything starts from a written table of one row per distinct score with its positives
+and negatives, so tied scores move together, as the definitions ask, and the scored rows
+are read once however many metrics follow.
+
+One rule holds for all of them: a row whose score is NULL or NaN, whose label is not 0 or
+1, or whose group is NULL is refused and counted, and enters no metric.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from cohortlab.functions.columns import exprs, lines, number, quoted, ratio_or_zero
 from cohortlab.operators.ordered import exact_quantiles, running_totals
+from cohortlab.session import Written, remove
 
 # The candidate grid for the F1 sweep and the sensitivity target.
 F1_GRID_START, F1_GRID_STOP, F1_GRID_SIZE = 0.01, 0.99, 100
@@ -21,23 +27,76 @@ TARGET_SENSITIVITY = 0.80
 STRATEGIES = ("Youden's J", "80% sensitivity", "Max F1")
 
 
-def score_counts(scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct score: true (tp) and false (fp) positives it adds."""
-    rows = scored.selectExpr(*by, f"{score} AS threshold", f"cast({label} AS bigint) AS _y")
+#: Why a scored row is refused; the first that holds counts. A refused row enters no metric.
+REFUSALS = {
+    "null_score": "_p IS NULL",
+    "nan_score": "isnan(_p)",
+    "null_label": "_y IS NULL",
+    "other_label": "_y NOT IN (0, 1)",
+    "null_group": "_g",
+}
+
+
+@dataclass(frozen=True)
+class ScoreTable:
+    """What every metric derives from: one row per group and distinct score, with the true
+    (tp) and false (fp) positives it adds. Tables of parts add up to that of the whole."""
+
+    written: Written
+    by: tuple[str, ...] = ()
+    observed: Observation | None = None
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.written.rows
+
+    def drop(self) -> None:
+        """Removes the written table; nothing that reads it may run afterwards."""
+        remove(self.counts.sparkSession, self.written.path)
+
+    @property
+    def refused(self) -> dict[str, int]:
+        """Rows refused by reason, and rows taken, as counted in the pass that wrote the table."""
+        return self.observed.get if self.observed else {}
+
+
+def score_counts(
+    scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = (), observed: Observation | None = None
+) -> DataFrame:
+    """One row per distinct score: true (tp) and false (fp) positives it adds. Rows without a
+    score or a label of 0 or 1, or without their group, are refused and, if asked, counted."""
+    group = " OR ".join(f"{c} IS NULL" for c in by) or "false"
+    rows = scored.selectExpr(*by, f"cast({score} AS double) AS _p", f"cast({label} AS double) AS _y", f"({group}) AS _g")
+    reason = "CASE " + " ".join(f"WHEN {test} THEN {quoted(name)}" for name, test in REFUSALS.items()) + " END"
+    rows = rows.selectExpr("*", f"{reason} AS _refused")
+    if observed is not None:
+        rows = rows.observe(observed, *exprs([
+            *[f"count_if(_refused = {quoted(name)}) AS {name}" for name in REFUSALS], "count_if(_refused IS NULL) AS taken"
+        ]))
+    rows = rows.where("_refused IS NULL").selectExpr(*by, "_p AS threshold", "cast(_y AS bigint) AS _y")
     return rows.groupBy(*by, "threshold").agg(*exprs(["sum(_y) AS tp", "sum(1 - _y) AS fp"]))
 
 
+def score_table(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", by: Sequence[str] = ()) -> ScoreTable:
+    """The written table of score counts: the one pass over the scored rows."""
+    if isinstance(scored, ScoreTable):
+        if tuple(by) != scored.by:
+            raise ValueError(f"the table is by {scored.by}, not by {tuple(by)}")
+        return scored
+    observed = Observation()
+    return ScoreTable(Written.of(score_counts(scored, label, score, by, observed), "score-counts"), tuple(by), observed)
+
+
 def cumulative_counts(
-    scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = ()
+    scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", by: Sequence[str] = ()
 ) -> DataFrame:
     """Score counts with running and overall totals from the highest score down."""
-    counts = score_counts(scored, label, score, by)
-    rows = scored.selectExpr(f"{score} AS threshold")
-    return running_totals(counts, rows, "threshold", ["tp", "fp"], by=by)
+    counts = score_table(scored, label, score, by).counts
+    return running_totals(counts, "threshold", ["tp", "fp"], by=by)
 
 
 def ranking_quality(
-    scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = ()
+    scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", by: Sequence[str] = ()
 ) -> DataFrame:
     """ROC-AUC (ties count half) and average precision, per ``by`` group.
 
@@ -60,7 +119,7 @@ def ranking_quality(
     )
 
 
-def roc_points(scored: DataFrame, label: str = "y_true", score: str = "p", thin: bool = True) -> DataFrame:
+def roc_points(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", thin: bool = True) -> DataFrame:
     """(threshold, fpr, tpr), with the (inf, 0, 0) start point.
 
     ``thin`` drops inner points on a straight run: those whose counts equal the
@@ -71,59 +130,61 @@ def roc_points(scored: DataFrame, label: str = "y_true", score: str = "p", thin:
         first = "(cum_tp = tp AND cum_fp = fp)"
         c = c.where(f"{first} OR next_tp IS NULL OR next_tp != tp OR next_fp != fp")
     points = c.selectExpr(
-        "cast(threshold AS double) AS threshold",
+        "threshold",
         "try_divide(cum_fp, total_fp) AS fpr",
         "try_divide(cum_tp, total_tp) AS tpr",
     )
-    start = scored.sparkSession.range(1).selectExpr(
+    start = c.sparkSession.range(1).selectExpr(
         "double('Infinity') AS threshold", "0.0D AS fpr", "0.0D AS tpr"
     )
     return points.unionByName(start)
 
 
-def pr_points(scored: DataFrame, label: str = "y_true", score: str = "p") -> DataFrame:
+def pr_points(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p") -> DataFrame:
     """(threshold, precision, recall, prevalence), plus the (recall 0, precision 1) end point."""
-    points = cumulative_counts(scored, label, score).selectExpr(
-        "cast(threshold AS double) AS threshold",
+    table = score_table(scored, label, score)
+    points = cumulative_counts(table).selectExpr(
+        "threshold",
         "cum_tp / (cum_tp + cum_fp) AS precision",
         "try_divide(cum_tp, total_tp) AS recall",
         "total_tp / (total_tp + total_fp) AS prevalence",
     )
-    end = scored.agg(F.expr(f"avg(cast({label} AS double)) AS prevalence")).selectExpr(
+    end = table.counts.agg(F.expr("sum(tp) / sum(tp + fp) AS prevalence")).selectExpr(
         "cast(NULL AS double) AS threshold", "1.0D AS precision", "0.0D AS recall", "prevalence"
     )
     return points.unionByName(end)
 
 
-def calibration(scored: DataFrame, label: str = "y_true", score: str = "p", bins: int = 10) -> DataFrame:
+def calibration(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", bins: int = 10) -> DataFrame:
     """Mean score and observed rate per quantile bin; empty bins do not appear.
 
     Inner edges are interpolated percentiles; a score's bin is the number of
     inner edges strictly below it, so equal scores share a bin.
     """
-    edges = exact_quantiles(scored, score, [i / bins for i in range(1, bins)]).select("quantiles").scalar()
-    binned = scored.withColumn("_edges", edges).selectExpr(
-        f"size(filter(_edges, e -> e < {score})) AS bin", f"{score} AS _p", f"cast({label} AS double) AS _y"
+    counts = score_table(scored, label, score).counts.selectExpr("threshold", "tp", "tp + fp AS n")
+    edges = exact_quantiles(counts, "threshold", [i / bins for i in range(1, bins)], weight="n").select("quantiles").scalar()
+    binned = counts.withColumn("_edges", edges).selectExpr(
+        "size(filter(_edges, e -> e < threshold)) AS bin", "threshold * n AS _p", "tp", "n"
     )
     return binned.groupBy("bin").agg(
-        *exprs(["count(*) AS n", "avg(_p) AS prob_pred", "avg(_y) AS prob_true"])
+        *exprs(["sum(n) AS n", "sum(_p) / sum(n) AS prob_pred", "sum(tp) / sum(n) AS prob_true"])
     )
 
 
-def _roc_pick(scored: DataFrame, label: str, score: str, best: str) -> DataFrame:
+def _roc_pick(scored: DataFrame | ScoreTable, label: str, score: str, best: str) -> DataFrame:
     point = "struct(threshold, tpr, fpr)"
     return roc_points(scored, label, score).agg(F.expr(f"{best.format(point=point)} AS b")).selectExpr(
         "b.threshold AS threshold", "b.tpr AS sensitivity", "1 - b.fpr AS specificity"
     )
 
 
-def youden(scored: DataFrame, label: str = "y_true", score: str = "p") -> DataFrame:
+def youden(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p") -> DataFrame:
     """The threshold with the largest tpr - fpr; the highest one on ties."""
     return _roc_pick(scored, label, score, "max_by({point}, struct(tpr - fpr, threshold))")
 
 
 def target_sensitivity(
-    scored: DataFrame, label: str = "y_true", score: str = "p", target: float = TARGET_SENSITIVITY
+    scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", target: float = TARGET_SENSITIVITY
 ) -> DataFrame:
     """The thinned ROC point whose tpr is nearest the target; the highest on ties."""
     gap = f"abs(tpr - {number(target)})"
@@ -137,17 +198,17 @@ def threshold_grid(start: float = F1_GRID_START, stop: float = F1_GRID_STOP, siz
 
 
 def grid_counts(
-    scored: DataFrame, grid: Sequence[float], label: str = "y_true", score: str = "p"
+    scored: DataFrame | ScoreTable, grid: Sequence[float], label: str = "y_true", score: str = "p"
 ) -> DataFrame:
     """Confusion counts at every grid threshold (predict 1 where p >= threshold).
 
-    Each row is binned once by the number of thresholds at or below its score;
-    the counts are suffix sums over one row per bin. No row meets every threshold.
+    Each score is binned once by the number of thresholds at or below it; the counts are
+    suffix sums over one row per bin. No score meets every threshold.
     """
-    rows = scored.selectExpr(f"cast({score} AS double) AS _p", f"cast({label} AS bigint) AS _y")
+    counts = score_table(scored, label, score).counts
     splits = [-math.inf, *grid, math.inf]
-    binned = Bucketizer(splits=splits, inputCol="_p", outputCol="_at").transform(rows)
-    per_bin = binned.groupBy("_at").agg(*exprs(["sum(_y) AS tp", "sum(1 - _y) AS fp"]))
+    binned = Bucketizer(splits=splits, inputCol="threshold", outputCol="_at").transform(counts)
+    per_bin = binned.groupBy("_at").agg(*exprs(["sum(tp) AS tp", "sum(fp) AS fp"]))
     # One row, with an array of at most len(grid) + 1 bins.
     totals = per_bin.agg(*exprs([
         "collect_list(struct(_at, tp, fp)) AS _bins",
@@ -162,7 +223,7 @@ def grid_counts(
     ).selectExpr("threshold", "n_neg - fp AS tn", "fp", "n_pos - tp AS fn", "tp")
 
 
-def max_f1(scored: DataFrame, label: str = "y_true", score: str = "p") -> DataFrame:
+def max_f1(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p") -> DataFrame:
     """The grid threshold with the best F1; the lowest one on ties."""
     f1 = ratio_or_zero("(2 * tp)", "(2 * tp + fp + fn)")
     judged = grid_counts(scored, threshold_grid(), label, score).selectExpr("threshold", f"{f1} AS f1")
@@ -171,34 +232,38 @@ def max_f1(scored: DataFrame, label: str = "y_true", score: str = "p") -> DataFr
 
 
 def confusion(
-    scored: DataFrame, thresholds: DataFrame, label: str = "y_true", score: str = "p",
+    scored: DataFrame | ScoreTable, thresholds: DataFrame, label: str = "y_true", score: str = "p",
     names: Sequence[str] = STRATEGIES,
 ) -> DataFrame:
-    """tn, fp, fn, tp at each named threshold, in one pass over the scores.
+    """tn, fp, fn, tp at each named threshold, in one pass over the score counts.
 
     ``thresholds`` holds (strategy, threshold); ``names`` lists its strategies.
     """
     by_name = thresholds.agg(F.expr("map_from_entries(collect_list(struct(strategy, threshold))) AS m"))
     picked = ", ".join(f"_m[{quoted(n)}]" for n in names)
-    rows = scored.selectExpr(f"{score} AS _p", f"cast({label} AS int) AS _y").withColumn("_m", by_name.scalar())
-    cells = {"tn": "_p < {t} AND _y = 0", "fp": "_p >= {t} AND _y = 0",
-             "fn": "_p < {t} AND _y = 1", "tp": "_p >= {t} AND _y = 1"}
-    counted = rows.selectExpr("_p", "_y", f"array({picked}) AS _t").agg(*exprs([
+    counts = score_table(scored, label, score).counts.withColumn("_m", by_name.scalar())
+    sums = {"tn": "fp", "fp": "fp", "fn": "tp", "tp": "tp"}
+    side = {"tn": "<", "fp": ">=", "fn": "<", "tp": ">="}
+    counted = counts.selectExpr("threshold", "tp", "fp", f"array({picked}) AS _t").agg(*exprs([
         "max(_t) AS _t",
-        *[f"count_if({test.format(t=f'_t[{i}]')}) AS {c}{i}" for i in range(len(names)) for c, test in cells.items()],
+        *[
+            f"coalesce(sum(CASE WHEN threshold {side[c]} _t[{i}] THEN {of} END), 0) AS {c}{i}"
+            for i in range(len(names)) for c, of in sums.items()
+        ],
     ]))
     return counted.selectExpr(lines(
-        {"strategy": quoted(n), "threshold": f"_t[{i}]", **{c: f"{c}{i}" for c in cells}}
+        {"strategy": quoted(n), "threshold": f"_t[{i}]", **{c: f"{c}{i}" for c in sums}}
         for i, n in enumerate(names)
     ))
 
 
-def thresholds(scored: DataFrame, label: str = "y_true", score: str = "p") -> DataFrame:
+def thresholds(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p") -> DataFrame:
     """(strategy, threshold) of the three ways to choose a threshold.
 
     They are chosen on the rows they are later judged on. The two ROC choices
     share one pass over the curve.
     """
+    scored = score_table(scored, label, score)
     gap = f"struct(abs(tpr - {number(TARGET_SENSITIVITY)}), -threshold)"
     both = roc_points(scored, label, score).agg(*exprs([
         "max_by(threshold, struct(tpr - fpr, threshold)) AS j", f"min_by(threshold, {gap}) AS s"
@@ -212,8 +277,9 @@ def thresholds(scored: DataFrame, label: str = "y_true", score: str = "p") -> Da
     )
 
 
-def threshold_table(scored: DataFrame, label: str = "y_true", score: str = "p") -> DataFrame:
+def threshold_table(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p") -> DataFrame:
     """Sensitivity, specificity, precision and F1 of each strategy."""
+    scored = score_table(scored, label, score)
     rates = confusion(scored, thresholds(scored, label, score), label, score).selectExpr(
         "strategy",
         "threshold",
@@ -257,7 +323,7 @@ def classification_report(counts: DataFrame, names: Sequence[str] = ("alive", "d
     return wide.selectExpr(lines(table))
 
 
-def model_comparison(scored: DataFrame, baseline: str, model: str = "model") -> DataFrame:
+def model_comparison(scored: DataFrame | ScoreTable, baseline: str, model: str = "model") -> DataFrame:
     """AUC and average precision per model, with differences from the baseline.
 
     ``scored`` is long: (model, y_true, p). The window runs over one row per model.

@@ -10,44 +10,68 @@ sort, so a value that makes up a third of the table is one row here.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlab.functions.columns import exprs, quoted
+from cohortlab.functions.columns import exprs, lines, quoted
 
 BUCKET = "_bucket"
 
+#: Sketches meet in groups of so many, level by level; no task sees those of all map tasks.
+LEVELS = (512, 16)
+#: The largest parameter of a sketch, and so the finest cut: 2**16 buckets.
+MOST_BITS, MOST_K = 16, 65_535
+
 
 def bucket_bits(df: DataFrame, factor: int = 4) -> int:
-    """Enough buckets for a few per shuffle partition, between 16 and 8,192."""
+    """Enough buckets for a few per shuffle partition, 16 or more."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(13, max(4, math.ceil(math.log2(max(1, partitions * factor)))))
+    return min(MOST_BITS, max(4, math.ceil(math.log2(max(1, partitions * factor)))))
+
+
+def merged_sketches(rows: DataFrame, values: Mapping[str, str], k: int) -> DataFrame:
+    """One row with a quantile sketch per value (name: expression), merged in levels.
+
+    Every map task sketches its own rows; the sketches then meet by map task, in groups
+    of bounded number, before the last few become one. No row is shuffled.
+    """
+    cells = [f"cast({text} AS double) AS {name}" for name, text in values.items()]
+    out = rows.selectExpr(*cells, f"spark_partition_id() % {LEVELS[0]} AS _at").groupBy("_at").agg(
+        *exprs(f"kll_sketch_agg_double({name}, {k}) AS {name}" for name in values)
+    )
+    merged = exprs(f"kll_merge_agg_double({name}, {k}) AS {name}" for name in values)
+    for width in LEVELS[1:]:
+        out = out.selectExpr(*values, f"_at % {width} AS _at").groupBy("_at").agg(*merged)
+    return out.agg(*merged)
+
+
+def sketched_cuts(rows: DataFrame, value: str, cuts: int) -> DataFrame:
+    """One row: ``cuts`` values that part ``rows`` about evenly; NULL when there is no value."""
+    shares = ", ".join(f"{(i + 1) / (cuts + 1)!r}D" for i in range(cuts))
+    sketch = merged_sketches(rows, {"_s": value}, min(MOST_K, max(200, 4 * cuts)))
+    return sketch.selectExpr(
+        f"CASE WHEN kll_sketch_get_n_double(_s) > 0 THEN kll_sketch_get_quantile_double(_s, array({shares})) END AS cuts"
+    )
 
 
 def with_buckets(df: DataFrame, value: str, rows: DataFrame, bits: int) -> DataFrame:
     """Adds the bucket of ``value``, from cuts sketched over ``rows``.
 
-    ``rows`` is the input before grouping: the sketch is a one-row aggregate with
-    no shuffle of data. The cuts reach every task as a scalar subquery of
-    2**bits - 1 numbers; the lookup is a binary search over them.
+    The cuts reach every task as a scalar subquery of 2**bits - 1 numbers; the lookup is
+    a binary search over them.
     """
     cuts = 2**bits - 1
-    shares = ", ".join(f"{(i + 1) / (cuts + 1)!r}D" for i in range(cuts))
-    sketch = rows.agg(
-        F.expr(f"percentile_approx(cast({value} AS double), array({shares}), {4 * (cuts + 1)}) AS cuts")
-    )
     strides = ", ".join(str(2**i) for i in reversed(range(bits)))
     step = f"CASE WHEN element_at(_cuts, at + stride) <= {value} THEN at + stride ELSE at END"
     # The coalesce also stops the planner from deriving a not-null filter on the search.
     search = f"coalesce(aggregate(array({strides}), 0, (at, stride) -> {step}), 0) AS {BUCKET}"
     names = [f"`{c}`" for c in df.columns]
-    return df.withColumn("_cuts", sketch.scalar()).selectExpr(*names, search)
+    return df.withColumn("_cuts", sketched_cuts(rows, value, cuts).scalar()).selectExpr(*names, search)
 
 
 def running_totals(
     counts: DataFrame,
-    rows: DataFrame,
     order: str,
     sums: Sequence[str],
     by: Sequence[str] = (),
@@ -59,10 +83,11 @@ def running_totals(
     ``counts`` has one row per (by, order value). Adds, for every sum s,
     ``cum_s`` (up to and including the row) and ``total_s``, and ``next_s``, the
     value of s on the row after it (NULL on the last). ``by`` must not be NULL.
+    ``counts`` is read more than once, so let it be a written table.
     """
     by = list(by)
     bits = bucket_bits(counts) if bits is None else bits
-    cut = with_buckets(counts, order, rows, bits)
+    cut = with_buckets(counts, order, counts, bits)
     keys = [*by, BUCKET]
     way, edge = ("DESC", "max_by") if descending else ("ASC", "min_by")
     group = f"PARTITION BY {', '.join(by)}" if by else ""
@@ -98,12 +123,14 @@ def exact_quantiles(
     by: Sequence[str] = (),
     groups: int = 1,
     bits: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values, per ``by`` group.
 
     Returns ``by``, ``n`` and ``quantiles`` (an array in the order of ``shares``).
     ``groups`` is the number of groups, when known: the buckets are shared, so
-    more groups need more of them.
+    more groups need more of them. ``weight`` names a column that says how often a row
+    counts; values are then distinct already.
 
     Copies of a value collapse to one counted row. Bucket sizes then tell which
     buckets hold the wanted ranks, and only those few are sorted.
@@ -111,8 +138,11 @@ def exact_quantiles(
     by = list(by)
     rows = df.where(f"{value} IS NOT NULL")
     if bits is None:
-        bits = min(13, bucket_bits(df) + math.ceil(math.log2(max(1, groups))))
-    counts = rows.groupBy(*by, value).agg(F.expr("count(*) AS _n"))
+        bits = min(MOST_BITS, bucket_bits(df) + math.ceil(math.log2(max(1, groups))))
+    if weight is None:
+        counts = rows.groupBy(*by, value).agg(F.expr("count(*) AS _n"))
+    else:
+        counts = rows.selectExpr(*by, value, f"{weight} AS _n")
     cut = with_buckets(counts, value, rows, bits)
     keys = [*by, BUCKET]
 
@@ -144,6 +174,18 @@ def exact_quantiles(
     return picked.selectExpr(*by, "n", f"array({', '.join(out)}) AS quantiles")
 
 
+def quantile_cuts(df: DataFrame, columns: Sequence[str], cuts: int) -> dict[str, list[float]]:
+    """Per column, the distinct values among ``cuts`` exact quantiles of its non-null values.
+
+    What reaches the driver is ``cuts`` numbers a column.
+    """
+    pairs = lines({"_name": quoted(c), "_value": f"cast({c} AS double)"} for c in columns)
+    shares = [(i + 1) / (cuts + 1) for i in range(cuts)]
+    found = exact_quantiles(df.selectExpr(pairs), "_value", shares, by=["_name"], groups=len(columns))
+    at = {r["_name"]: sorted(set(r["quantiles"])) for r in found.collect()}
+    return {c: at.get(c, []) for c in columns}
+
+
 def class_rank(
     df: DataFrame, label: str, key: str, seed: int | str, digits: int = 3
 ) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions import contract as k
 from cohortlab.functions.columns import died, exprs, lines, nan_to_null, percent_text, quoted
-from cohortlab.models import attribution, generalise, linear, prepare, split, trees
+from cohortlab.models import attribution, generalise, linear, prepare, split, stepwise, trees
+from cohortlab.models.split import FOLDS
 from cohortlab.operators import audit, cohort as co, metrics, rates
 from cohortlab.operators.readings import first_day, restrict
 from cohortlab.plans import features as fe, reports
-from cohortlab.plans.study import GROUP, Study, fold_summary, quality_row
+from cohortlab.plans.study import Study, fold_summary, quality_row
 from cohortlab.session import fresh_path, materialise
 from cohortlab.sources import readers, schemas, sinks, standin
 from cohortlab.sources.readers import Tables
@@ -24,11 +25,9 @@ REASON_WEIGHTS = {
     "sbp_mean": -0.24, "map_mean": -0.11, "rr_mean": 0.27, "spo2_mean": -0.19, "temp_mean": -0.22,
     "bun_max": 0.38, "creatinine_max": 0.09, "glucose_min": 0.07, "wbc_mean": 0.16,
 }
-# Each boosting round is a few Spark jobs. The search queries run this many rounds
-# per fit; the library's own limits are those of the configurations.
-SEARCH_ROUNDS = 8
-SEARCH_PATIENCE = 5
-EARLY_ROUNDS = 40
+# The limits and patience of the boosting searches.
+EARLY = trees.Boosting("early", 500, 0.05, 31, 20)
+EARLY_PATIENCE, SEARCH_PATIENCE = 30, 50
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,6 +441,35 @@ def calibration(spark, sf_dir):
     return rounded(metrics.calibration(standin.scores(spark, sf_dir)), "prob_pred", "prob_true")
 
 
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with many distinct values, of which some rows can't be judged."""
+    return standin.scores(spark, sf_dir).selectExpr(
+        "id",
+        "CASE WHEN id % 23 = 0 THEN NULL WHEN id % 29 = 0 THEN 2 ELSE y_true END AS y_true",
+        "CASE WHEN id % 17 = 0 THEN NULL WHEN id % 19 = 0 THEN double('NaN') ELSE p + id * 0.000000001D END AS p",
+    )
+
+
+@query
+def gated_quality(spark, sf_dir):
+    """Area and average precision, with the rows refused by reason."""
+    table = metrics.score_table(_gated(spark, sf_dir))
+    refused = {c: n for c, n in table.refused.items() if c not in ("taken", "null_group")}
+    df = metrics.ranking_quality(table).selectExpr("*", *[f"{n}L AS {c}" for c, n in refused.items()])
+    return rounded(df, "roc_auc", "average_precision")
+
+
+@query
+def gated_calibration(spark, sf_dir):
+    return rounded(metrics.calibration(_gated(spark, sf_dir)), "prob_pred", "prob_true")
+
+
+@query
+def gated_thresholds(spark, sf_dir):
+    df = metrics.threshold_table(_gated(spark, sf_dir))
+    return rounded(df, *doubles(df))
+
+
 @query
 def youden(spark, sf_dir):
     return rounded(metrics.youden(standin.scores(spark, sf_dir)), "sensitivity", "specificity")
@@ -466,13 +494,13 @@ def f1_sweep(spark, sf_dir):
 
 @query
 def confusion(spark, sf_dir):
-    scored = standin.scores(spark, sf_dir)
+    scored = metrics.score_table(standin.scores(spark, sf_dir))
     return rounded(metrics.confusion(scored, metrics.thresholds(scored)), "threshold")
 
 
 @query
 def classification_report(spark, sf_dir):
-    scored = standin.scores(spark, sf_dir)
+    scored = metrics.score_table(standin.scores(spark, sf_dir))
     name = metrics.STRATEGIES[0]
     best = metrics.youden(scored).selectExpr(f"{quoted(name)} AS strategy", "threshold")
     df = metrics.classification_report(metrics.confusion(scored, best, names=[name]))
@@ -538,8 +566,7 @@ def lr_train_eval(spark, sf_dir):
 @query
 def lr_thresholds(spark, sf_dir):
     """The three threshold strategies on the fitted model's test predictions."""
-    scored = materialise(study(spark, sf_dir).logistic_predictions(), "predictions")
-    df = metrics.threshold_table(scored)
+    df = metrics.threshold_table(study(spark, sf_dir).logistic_predictions())
     return rounded(df, *doubles(df))
 
 
@@ -563,32 +590,43 @@ def gbt_train_eval(spark, sf_dir):
     both = metrics.align_predictions(
         s.logistic_predictions(), s.boosted_predictions(), k.STAY_ID, ("logistic", "boosted")
     )
-    df = metrics.model_comparison(materialise(both, "predictions"), "logistic")
+    df = metrics.model_comparison(both, "logistic")
     return rounded(df, *doubles(df))
 
 
 @query
 def gbt_early_stop(spark, sf_dir):
-    """The round to stop at by the AUC of the nested validation rows."""
-    df = study(spark, sf_dir).early_stopped(trees.Boosting("early", EARLY_ROUNDS, 0.05, 31, 20))
+    """The round to stop at by the AUC of the nested validation rows, and the stopped model's test figures."""
+    rows, bins = study(spark, sf_dir).matrix
+    df = stepwise.early_stopped(rows, EARLY, EARLY_PATIENCE, bins)
     return rounded(df, "validation_roc_auc", "roc_auc", "pr_auc")
 
 
 @query
 def gbt_rounds(spark, sf_dir):
     """The number of trees by cross-validated AUC."""
-    s = study(spark, sf_dir)
-    config = trees.Boosting("default", SEARCH_ROUNDS, 0.05, 31, 20)
-    per_fold = trees.cross_validated_rounds(s.train_rows(), config, s.max_categories)
-    df = trees.best_rounds(per_fold, SEARCH_PATIENCE)
-    return rounded(df, "auc_mean", "auc_std")
+    rows, bins = study(spark, sf_dir).matrix
+    df = stepwise.sweep(rows.where("split = 'train'"), trees.SWEEP[:1], SEARCH_PATIENCE, bins, FOLDS)
+    return rounded(df.select("n_trees", "n_rounds", "auc_mean", "auc_std"), "auc_mean", "auc_std")
 
 
 @query
 def gbt_sweep(spark, sf_dir):
-    s = study(spark, sf_dir)
-    df = trees.sweep(s.train_rows(), rounds=SEARCH_ROUNDS, patience=SEARCH_PATIENCE, max_categories=s.max_categories)
-    return rounded(materialise(df, "sweep"), "auc_mean", "auc_std")
+    """Four configurations by cross-validated AUC, grown in step over one matrix."""
+    rows, bins = study(spark, sf_dir).matrix
+    df = stepwise.sweep(rows.where("split = 'train'"), trees.SWEEP, SEARCH_PATIENCE, bins, FOLDS)
+    return rounded(df, "auc_mean", "auc_std")
+
+
+@query
+def gbt_round_picker(spark, sf_dir):
+    """The stopping rule on given margins: five folds and twenty rounds that get worse after the eighth."""
+    rounds = 20
+    staged = standin.scores(spark, sf_dir).selectExpr(
+        "y_true", "cast(id % 5 AS int) AS series", f"explode(sequence(1, {rounds})) AS round", "id", "p"
+    ).selectExpr("y_true", "series", "round", "round(1000 * p) * 8 + ((id * 7919 * round) % 1009) * abs(round - 8) AS p")
+    judged = metrics.ranking_quality(staged, by=["series", "round"])
+    return rounded(stepwise.picked(judged, rounds, patience=4), "auc_mean", "auc_std")
 
 
 @query
@@ -649,7 +687,7 @@ def sink_reload(spark, sf_dir):
     sinks.write_table(predictions, path, schemas.PREDICTIONS)
     check("predictions of the reloaded model", predictions, path)
 
-    thresholds = metrics.thresholds(materialise(s.demo_predictions(), "predictions"))
+    thresholds = metrics.thresholds(s.demo_predictions())
     path = fresh_path(spark, "thresholds")
     sinks.write_table(thresholds, path)
     check("thresholds", thresholds, path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions import contract as k
 from cohortlab.functions.columns import exprs
-from cohortlab.models import generalise, linear, trees
+from cohortlab.models import generalise, linear, stepwise, trees
 from cohortlab.models.attribution import attributions, base_value, leaves_of
 from cohortlab.models.split import FOLDS, study_split
 from cohortlab.operators.metrics import ranking_quality
@@ -109,10 +109,14 @@ class Study:
     def boosted_predictions(self) -> DataFrame:
         return trees.score_boosted(self.boosted, self.test_rows(), [k.STAY_ID])
 
-    def early_stopped(self, config: trees.Boosting) -> DataFrame:
-        return trees.early_stopped(
-            self.train_rows(), self.test_rows(), config, max_categories=self.max_categories
+    @cached_property
+    def matrix(self) -> tuple[DataFrame, int]:
+        """The quantised features of all rows, written once for every search, and maxBins."""
+        rows, bins = stepwise.quantised(
+            self.rows, k.NUMERIC_FEATURES, k.CATEGORICAL, k.TARGET, self.train_weight,
+            [k.STAY_ID, "split", "is_validation", "fold"], learn="split = 'train'",
         )
+        return materialise(rows, "matrix"), bins
 
     # --- explanation and generalisation ---
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,7 @@ def local_session(cores: int | str = 8, name: str = "cohortlab") -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A temporary folder is made only for a local master that names none: on a
+    A temporary folder is made only for a single-machine master that names none: on a
     cluster an intermediate table on one machine's disk dies with that machine.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
@@ -38,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="cohortlab-"))
     return context.getCheckpointDir().rstrip("/")
@@ -49,12 +51,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared file system, whatever its kind."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@dataclass(frozen=True)
+class Written:
+    """A written table and its folder."""
+
+    path: str
+    rows: DataFrame
+
+    @classmethod
+    def of(cls, df: DataFrame, name: str, **options: str) -> Written:
+        path = fresh_path(df.sparkSession, name)
+        df.write.parquet(path, **options)
+        return cls(path, df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def rewritten(before: Written, df: DataFrame, name: str, **options: str) -> Written:
+    """Writes ``df``, made from ``before``, and then removes the table before it: a loop
+    leaves one table behind, not one a round."""
+    after = Written.of(df, name, **options)
+    remove(df.sparkSession, before.path)
+    return after
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once and read it back; ``options`` are the Parquet writer's.
 
     The written table cuts the lineage, survives lost executors, and, unlike a
     row-based checkpoint, still lets later readers prune columns.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path, **options)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Written.of(df, name, **options).rows

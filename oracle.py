@@ -275,7 +275,7 @@ confused as (select strategy, threshold, count(*) filter (where p < threshold an
     count(*) filter (where p >= threshold and y_true = 1) as tp from picked, scores group by strategy, threshold)"""
 
 
-def _auc(source: str, by: str = "") -> str:
+def _auc(source: str, by: str = "", digits: int = 6) -> str:
     """Rank form: mean rank of the positives against all rows, ties averaged."""
     part = f"partition by {by}" if by else ""
     sel = f"{by}, " if by else ""
@@ -283,9 +283,9 @@ def _auc(source: str, by: str = "") -> str:
     return f"""select {sel}count(*) as n, sum(y_true)::bigint as n_pos,
         case when sum(y_true) > 0 and sum(1 - y_true) > 0 then
           round((sum(case when y_true = 1 then r end) - sum(y_true) * (sum(y_true) + 1) / 2.0)::double
-            / (sum(y_true)::double * sum(1 - y_true)), 6) end as roc_auc,
+            / (sum(y_true)::double * sum(1 - y_true)), {digits}) end as roc_auc,
         case when sum(y_true) > 0 and sum(1 - y_true) > 0 then
-          round(sum(case when y_true = 1 then pr end) / sum(y_true), 6) end as average_precision
+          round(sum(case when y_true = 1 then pr end) / sum(y_true), {digits}) end as average_precision
       from (select *, rank() over ({part} order by p) + (count(*) over (partition by {by + ', ' if by else ''}p) - 1) / 2.0 as r,
               avg(y_true) over ({part} order by p desc range between unbounded preceding and current row) as pr
             from ({source})) {group}"""
@@ -477,19 +477,41 @@ ORACLE: dict[str, str] = {
         round(tp / (tp + fn), 6) as sensitivity, round(tn / (tn + fp), 6) as specificity,
         round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision,
         round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from confused""", _CURVE),
-    "model_comparison": _with("scores", f"""select m.model, m.roc_auc, m.average_precision,
-        round(m.roc_auc - b.roc_auc, 6) as roc_auc_delta,
+    "model_comparison": _with("scores", f"""select m.model, round(m.roc_auc, 6) as roc_auc,
+        round(m.average_precision, 6) as average_precision, round(m.roc_auc - b.roc_auc, 6) as roc_auc_delta,
         round(m.average_precision - b.average_precision, 6) as average_precision_delta
         from ({_auc('''select 'baseline' as model, y_true, p from scores union all
             select 'challenger', y_true, round(value / (value + 80 + event_id % 7), 3)
-            from scores join events on id = event_id''', 'model').replace(', 6)', ', 15)')}) m,
-          ({_auc('select * from scores').replace(', 6)', ', 15)')}) b"""),
+            from scores join events on id = event_id''', 'model', 15)}) m, ({_auc('select * from scores', digits=15)}) b"""),
+    "gbt_round_picker": _with("scores", """select best as n_trees, n_rounds, round(best_m, 6) as auc_mean, round(best_s, 6) as auc_std
+        from tracked join stopped on round = n_rounds""", f"""staged as (select y_true, (id % 5)::int as series, r as round,
+      round(1000 * p) * 8 + ((id * 7919 * r) % 1009) * abs(r - 8) as p from scores, range(1, 21) t(r)),
+    judged as ({_auc('select * from staged', 'series, round', 15)}),
+    means as (select round, avg(roc_auc) as m, stddev_pop(roc_auc) as s from judged where roc_auc is not null group by round),
+    running as (select *, max(m) over (order by round) as best_m from means),
+    tracked as (select round::int as round, best_m, (select min(x.round) from means x where x.m = r.best_m)::int as best,
+      (select x.s from means x where x.m = r.best_m order by x.round limit 1) as best_s from running r),
+    stopped as (select coalesce(min(round) filter (where round - best >= 4), max(round))::int as n_rounds from tracked)"""),
+}
+
+# --- scores with gaps: what can't be judged is refused and counted ---
+_GATED = f"""raw as ({_CTE['scores']}), gated as (select id,
+    case when id % 23 = 0 then null when id % 29 = 0 then 2 else y_true end as y_true,
+    case when id % 17 = 0 then null when id % 19 = 0 then 'nan'::double else p + id * 0.000000001::double end as p from raw),
+scores as (select * from gated where p is not null and not isnan(p) and y_true in (0, 1))"""
+ORACLE |= {
+    "gated_quality": f"""with {_GATED} select * from ({_auc('select * from scores')}), (
+        select count(*) filter (where p is null) as null_score, count(*) filter (where isnan(p)) as nan_score,
+          count(*) filter (where not isnan(p) and y_true is null) as null_label,
+          count(*) filter (where not isnan(p) and y_true not in (0, 1)) as other_label from gated)""",
+    "gated_calibration": f"""with {_GATED} select list_count(list_filter(e, lambda x: x < p))::int as bin, count(*) as n,
+        round(round(avg(p), 9), 6) as prob_pred, round(round(avg(y_true), 9), 6) as prob_true
+        from scores, (select quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as e from scores) group by 1""",
+    "gated_thresholds": f"""with {_GATED}, {_CURVE} select strategy, round(threshold, 6) as threshold,
+        round(tp / (tp + fn), 6) as sensitivity, round(tn / (tn + fp), 6) as specificity,
+        round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision,
+        round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from confused""",
 }
-# The comparison's own columns are rounded last.
-ORACLE["model_comparison"] = f"""select model, round(roc_auc, 6) as roc_auc, round(average_precision, 6) as average_precision,
-    round(roc_auc_delta, 6) as roc_auc_delta, round(average_precision_delta, 6) as average_precision_delta
-    from ({ORACLE["model_comparison"].replace("round(m.roc_auc - b.roc_auc, 6)", "(m.roc_auc - b.roc_auc)")
-          .replace("round(m.average_precision - b.average_precision, 6)", "(m.average_precision - b.average_precision)")})"""
 
 
 # --- preparation and scoring at fixed weights ---

@@ -91,14 +91,6 @@ def test_missing_category_has_its_own_index(boosted):
     assert len(set(index.values())) == 4
 
 
-def test_last_staged_margin_is_the_model_margin(boosted):
-    model, rows = boosted
-    staged = {(r.id, r["round"]): r.p for r in trees.staged_margins(model, rows, ["id"]).collect()}
-    for r in model.transform(rows).select("id", "rawPrediction").collect():
-        assert staged[(r.id, 6)] == pytest.approx(r.rawPrediction[1], abs=1e-9)
-    assert len(staged) == 6 * 600
-
-
 def test_attributions_add_up_to_the_log_odds(boosted):
     model, rows = boosted
     leaves = at.leaves_of(model)
@@ -153,39 +145,6 @@ def test_importance_and_extremes(spark):
     assert {(r.side, r.id, r.feature) for r in rows} == {("highest", 1, "b"), ("lowest", 2, "a")}
 
 
-@pytest.mark.parametrize("means, patience, want", [
-    ([0.5, 0.7, 0.6, 0.6, 0.9], 3, 5),
-    ([0.5, 0.7, 0.6, 0.6, 0.9], 2, 2),
-    ([0.7, 0.7, 0.7], 5, 1),
-    ([0.1, 0.2, 0.3], 1, 3),
-])
-def test_best_rounds_stops_early(spark, means, patience, want):
-    rows = [(f, i + 1, m + (0.1 if f else -0.1)) for i, m in enumerate(means) for f in (0, 1)]
-    r = trees.best_rounds(spark.createDataFrame(rows, "fold int, round int, roc_auc double"), patience).first()
-    assert r.n_trees == want and r.auc_mean == pytest.approx(means[want - 1]) and r.auc_std == pytest.approx(0.1)
-
-
-def test_early_stopping_uses_no_more_than_the_limit(toy, boosted):
-    _, rows = boosted
-    marked = rows.selectExpr("*", "id % 4 = 0 AS held")
-    config = trees.Boosting("stop", rounds=8, learning_rate=0.5, leaves=8, min_rows=15)
-    model = trees.fit_boosted(marked, config, 4, validation="held", validation_tol=0.5)
-    assert model.getNumTrees < 8
-
-
-def test_early_stopped_round_is_the_best_on_validation(toy, boosted):
-    _, rows = boosted
-    marked = rows.selectExpr("*", "id % 4 = 0 AS is_validation")
-    config = trees.Boosting("stop", rounds=5, learning_rate=0.3, leaves=8, min_rows=15)
-    r = trees.early_stopped(marked, rows.where("id % 3 = 0"), config, 30, 4).first()
-    model = trees.fit_boosted(marked.where("NOT is_validation"), config, 4)
-    per_round = trees.ranking_quality(
-        trees.staged_margins(model, marked.where("is_validation"), []), by=["round"]).collect()
-    best = max(per_round, key=lambda x: (x.roc_auc, -x["round"]))
-    assert r.n_trees == best["round"] and r.validation_roc_auc == pytest.approx(best.roc_auc)
-    assert r.n_test == 200
-
-
 def test_leave_one_group_out(spark):
     rows = [("b", 1), ("b", 0), ("b", 0), ("a", 0), ("a", 0), ("c", 1), ("c", 0), (None, 1)]
     df = spark.createDataFrame(rows, "g string, y int").selectExpr("*", "cast(y AS double) AS score")

@@ -20,7 +20,7 @@ def test_running_totals_equal_a_plain_loop(spark, bits, descending):
     y = (np.arange(len(x)) % 5 == 0).astype(int)
     df = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "v double, y int")
     counts = df.groupBy("v").agg(F.sum("y").alias("a"), F.count("*").alias("b"))
-    got = {r.v: r for r in running_totals(counts, df, "v", ["a", "b"], descending=descending, bits=bits).collect()}
+    got = {r.v: r for r in running_totals(counts, "v", ["a", "b"], descending=descending, bits=bits).collect()}
     order = sorted(set(x.tolist()), reverse=descending)
     ca = cb = 0
     sums = {v: (int(y[x == v].sum()), int((x == v).sum())) for v in order}
@@ -37,7 +37,7 @@ def test_running_totals_by_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", 1.5)], "g string, v double")
     counts = df.groupBy("g", "v").agg(F.count("*").alias("n"))
     got = {(r.g, r.v): (r.cum_n, r.total_n, r.next_n)
-           for r in running_totals(counts, df, "v", ["n"], by=["g"]).collect()}
+           for r in running_totals(counts, "v", ["n"], by=["g"]).collect()}
     assert got == {("a", 2.0): (2, 3, 1), ("a", 1.0): (3, 3, None), ("b", 1.5): (1, 1, None)}
 
 
