@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from cohortlab.functions.columns import exprs, lines, number, quoted, ratio_or_zero
-from cohortlab.operators.ordered import exact_quantiles, running_totals
+from cohortlab.operators.ordered import bits_for, exact_quantiles, running_totals
 from cohortlab.session import Written, remove
 
 # The candidate grid for the F1 sweep and the sensitivity target.
@@ -92,7 +92,7 @@ def cumulative_counts(
 ) -> DataFrame:
     """Score counts with running and overall totals from the highest score down."""
     counts = score_table(scored, label, score, by).counts
-    return running_totals(counts, "threshold", ["tp", "fp"], by=by)
+    return running_totals(counts, "threshold", ["tp", "fp"], by=by, bits=bits_for(counts))
 
 
 def ranking_quality(
@@ -161,8 +161,10 @@ def calibration(scored: DataFrame | ScoreTable, label: str = "y_true", score: st
     Inner edges are interpolated percentiles; a score's bin is the number of
     inner edges strictly below it, so equal scores share a bin.
     """
-    counts = score_table(scored, label, score).counts.selectExpr("threshold", "tp", "tp + fp AS n")
-    edges = exact_quantiles(counts, "threshold", [i / bins for i in range(1, bins)], weight="n").select("quantiles").scalar()
+    table = score_table(scored, label, score).counts
+    counts = table.selectExpr("threshold", "tp", "tp + fp AS n")
+    shares = [i / bins for i in range(1, bins)]
+    edges = exact_quantiles(counts, "threshold", shares, bits=bits_for(table), weight="n").select("quantiles").scalar()
     binned = counts.withColumn("_edges", edges).selectExpr(
         "size(filter(_edges, e -> e < threshold)) AS bin", "threshold * n AS _p", "tp", "n"
     )

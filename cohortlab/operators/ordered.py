@@ -20,6 +20,8 @@ BUCKET = "_bucket"
 
 #: Sketches meet in groups of so many, level by level; no task sees those of all map tasks.
 LEVELS = (512, 16)
+#: A table of at most so many rows is one bucket: a task sorts it at once.
+ONE_BUCKET = 100_000
 #: The largest parameter of a sketch, and so the finest cut: 2**16 buckets.
 MOST_BITS, MOST_K = 16, 65_535
 
@@ -30,6 +32,11 @@ def bucket_bits(df: DataFrame, factor: int = 4) -> int:
     return min(MOST_BITS, max(4, math.ceil(math.log2(max(1, partitions * factor)))))
 
 
+def bits_for(counts: DataFrame) -> int:
+    """Bucket bits for a written table, by its number of rows (read from its footers)."""
+    return 0 if counts.count() <= ONE_BUCKET else bucket_bits(counts)
+
+
 def merged_sketches(rows: DataFrame, values: Mapping[str, str], k: int) -> DataFrame:
     """One row with a quantile sketch per value (name: expression), merged in levels.
 
@@ -83,14 +90,23 @@ def running_totals(
     ``counts`` has one row per (by, order value). Adds, for every sum s,
     ``cum_s`` (up to and including the row) and ``total_s``, and ``next_s``, the
     value of s on the row after it (NULL on the last). ``by`` must not be NULL.
-    ``counts`` is read more than once, so let it be a written table.
+    ``counts`` is read more than once, so let it be a written table. With 0 ``bits`` it is
+    one bucket, for tables that one task can sort.
     """
     by = list(by)
     bits = bucket_bits(counts) if bits is None else bits
-    cut = with_buckets(counts, order, counts, bits)
-    keys = [*by, BUCKET]
     way, edge = ("DESC", "max_by") if descending else ("ASC", "min_by")
     group = f"PARTITION BY {', '.join(by)}" if by else ""
+    if bits == 0:
+        inside = f"{group} ORDER BY {order} {way}"
+        return counts.selectExpr(
+            "*",
+            *[f"sum({s}) OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_{s}" for s in sums],
+            *[f"sum({s}) OVER ({group}) AS total_{s}" for s in sums],
+            *[f"lead({s}) OVER ({inside}) AS next_{s}" for s in sums],
+        )
+    cut = with_buckets(counts, order, counts, bits)
+    keys = [*by, BUCKET]
 
     # At most 2**bits rows per group from here to ``offsets``.
     sizes = cut.groupBy(*keys).agg(*exprs([
@@ -143,10 +159,17 @@ def exact_quantiles(
         counts = rows.groupBy(*by, value).agg(F.expr("count(*) AS _n"))
     else:
         counts = rows.selectExpr(*by, value, f"{weight} AS _n")
+    group = f"PARTITION BY {', '.join(by)}" if by else ""
+    spots = [f"({float(s)!r}D * (n - 1))" for s in shares]
+    if bits == 0:
+        placed = counts.selectExpr(
+            *by, value, "_n", f"sum(_n) OVER ({group}) AS n",
+            f"sum(_n) OVER ({group} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _end",
+        )
+        return _interpolated(placed, value, spots, by)
     cut = with_buckets(counts, value, rows, bits)
     keys = [*by, BUCKET]
 
-    group = f"PARTITION BY {', '.join(by)}" if by else ""
     before = f"({group} ORDER BY {BUCKET} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     sizes = cut.groupBy(*keys).agg(F.expr("sum(_n) AS _in")).selectExpr(
         *keys,
@@ -154,7 +177,6 @@ def exact_quantiles(
         f"coalesce(sum(_in) OVER {before}, 0) AS _before",
         f"sum(_in) OVER ({group}) AS n",
     )
-    spots = [f"({float(s)!r}D * (n - 1))" for s in shares]
     ranks = [f"{f}({spot})" for spot in spots for f in ("floor", "ceil")]
     wanted = sizes.where(
         f"exists(array({', '.join(ranks)}), r -> r >= _before AND r < _before + _in)"
@@ -164,6 +186,12 @@ def exact_quantiles(
     placed = cut.join(wanted, keys).selectExpr(
         *by, value, "_n", "n", f"_before + sum(_n) OVER {upto} AS _end"
     )
+    return _interpolated(placed, value, spots, by)
+
+
+def _interpolated(placed: DataFrame, value: str, spots: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Quantiles from counted values (_n) with the ranks they end at (_end)."""
+    ranks = [f"{f}({spot})" for spot in spots for f in ("floor", "ceil")]
     picked = placed.groupBy(*by, "n").agg(*exprs(
         f"max(CASE WHEN {r} >= _end - _n AND {r} < _end THEN cast({value} AS double) END) AS _v{i}"
         for i, r in enumerate(ranks)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-from cohortlab.operators import metrics as m
+from cohortlab.operators import metrics as m, ordered
 
 
 def sample(n=400, seed=1, digits=2):
@@ -35,12 +35,20 @@ def thinned(y, p):
 
 
 @pytest.fixture(scope="module", params=[(400, 2), (1500, 6)])
-def data(request, spark):
+def sampled(request, spark):
     n, digits = request.param
     y, p = sample(n, digits=digits)
     return y, p, frame(spark, y, p).persist()
 
 
+@pytest.fixture(params=["one bucket", "buckets"])
+def data(request, sampled, monkeypatch):
+    """The same rows through one bucket and through many."""
+    if request.param == "buckets":
+        monkeypatch.setattr(ordered, "ONE_BUCKET", 0)
+    return sampled
+
+
 def test_auc_and_average_precision(data):
     y, p, df = data
     r = m.ranking_quality(df).first()
@@ -155,3 +163,55 @@ def test_report_with_an_empty_prediction_class(spark):
     counts = spark.createDataFrame([(3, 0, 2, 0)], "tn long, fp long, fn long, tp long")
     rows = {r.label: r for r in m.classification_report(counts).collect()}
     assert (rows["dead"].precision, rows["dead"].recall, rows["dead"].f1) == (0.0, 0.0, 0.0)
+
+
+# --- rows that can't be judged ---
+
+def gapped(spark):
+    nan = float("nan")
+    rows = [(1, 0.9, "a"), (0, 0.1, "a"), (1, None, "a"), (0, nan, "b"), (None, 0.5, "a"), (2, 0.5, "a"), (1, 0.7, None),
+            (None, None, "b"), (0, 0.8, "a"), (1, 0.3, "b"), (0, 0.3, "b")]
+    return spark.createDataFrame(rows, "y_true int, p double, g string")
+
+
+def test_rows_without_score_or_label_are_refused_and_counted(spark):
+    table = m.score_table(gapped(spark), by=["g"])
+    assert table.refused == {"null_score": 2, "nan_score": 1, "null_label": 1, "other_label": 1, "null_group": 1, "taken": 5}
+    got = {r.g: (r.n, r.n_pos, r.roc_auc) for r in m.ranking_quality(table, by=["g"]).collect()}
+    assert got == {"a": (3, 1, 1.0), "b": (2, 1, 0.5)}
+
+
+def test_every_metric_refuses_the_same_rows(spark):
+    df = gapped(spark)
+    clean = df.where("p IS NOT NULL AND NOT isnan(p) AND y_true IN (0, 1)")
+    for f in (m.ranking_quality, m.roc_points, m.pr_points, m.calibration, m.youden, m.max_f1, m.thresholds, m.threshold_table,
+              lambda d: m.grid_counts(d, [0.2, 0.5])):
+        assert sorted(map(tuple, f(df).collect()), key=str) == sorted(map(tuple, f(clean).collect()), key=str)
+
+
+def test_scored_rows_are_read_once(spark):
+    """Three strategies, their confusion and their rates from one pass over the rows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    y, p = sample(300)
+    df = frame(spark, y, p)
+    m.threshold_table(df.mapInArrow(watch, df.schema)).collect()
+    assert seen.value == 300
+
+
+def test_parts_add_up_to_the_whole(spark):
+    y, p = sample(300)
+    df = frame(spark, y, p)
+    parts = [m.score_counts(df.where(f"id % 2 = {i}")) for i in (0, 1)]
+    added = parts[0].union(parts[1]).groupBy("threshold").sum("tp", "fp").collect()
+    assert sorted(map(tuple, added)) == sorted(map(tuple, m.score_counts(df).collect()))
+
+
+def test_no_rows_give_no_quality(spark):
+    r = m.ranking_quality(frame(spark, [], []).where("true")).first()
+    assert (r.n, r.roc_auc) == (0, None)

@@ -1,5 +1,6 @@
 """What the physical plans must and must not contain."""
 
+import itertools
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.plans import features as fe
 from cohortlab.plans.catalog import QUERIES
-from cohortlab.operators import cohort as co, metrics
+from cohortlab.operators import cohort as co, metrics, ordered
 from cohortlab.sources.readers import Tables
 from cohortlab.sources.schemas import TABLES
 
@@ -83,3 +84,18 @@ def test_a_third_of_the_scores_on_one_value(spark):
     above = stock["t"].cumsum() - stock["t"]
     want = (stock["f"] * (above + stock["t"] / 2)).sum() / (stock["t"].sum() * stock["f"].sum())
     assert r.roc_auc == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["describe_vitals", "feature_defaults", "readings_per_stay", "roc_auc", "calibration"])
+def test_sketches_are_merged_in_levels(spark, small, monkeypatch, name):
+    """No task takes in the sketches of all map tasks: below an exchange to one partition
+    sketches have met twice already."""
+    monkeypatch.setattr(ordered, "ONE_BUCKET", 0)
+    lines = plan(QUERIES[name](spark, small)).split("\n")
+    assert not any("percentile_approx" in x for x in lines)
+    single = [i for i, x in enumerate(lines) if "SinglePartition" in x and "kll" in lines[i + 1]]
+    assert single
+    for i in single:
+        depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+        below = itertools.takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > depth, lines[i + 1:])
+        assert sum("kll_sketch_agg_double" in x or "kll_merge_agg_double" in x for x in below if "Exchange" not in x) >= 5
