@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.common import ship
-from cohortlab.llm.terms import FOLD, columns, utf8
+from cohortlab.llm.terms import FOLD, columns, terms, utf8
 
 ship(__name__)
 
@@ -162,9 +162,10 @@ def evaluate(expression: list[str]) -> tuple[float, frozenset[str]]:
 
 @dataclass
 class Statement:
-    """A licence expression in postfix form, the word where it stands, and how it is given."""
+    """A licence expression in postfix form, the words where it stands, and how it is given."""
 
     word: int
+    end: int
     kind: str
     expression: list[str]
 
@@ -202,7 +203,9 @@ class Scanner:
             if phrase in TAGS:
                 tags.append(first + length)
         places.sort()
-        statements = (self._tagged(text, folded, tags) if tags else []) + self._noticed(words, notices)
+        tagged = self._tagged(text, folded, tags) if tags else []
+        inside = {w for s in tagged for w in range(s.word, s.end)}
+        statements = tagged + self._noticed(words, [n for n in notices if n[0] not in inside])
         # "All rights reserved" stands beside many a licence; alone it closes a text.
         granting = [s for s in statements if s.expression != ["proprietary"]]
         return len(words), places, sorted(granting or statements, key=lambda s: s.word)
@@ -217,12 +220,15 @@ class Scanner:
             if gap:
                 line = text.find(b"\n", gap.end())
                 line = text[gap.end() : line if line >= 0 else len(text)].lower()
-                tokens, pos = [], 0
-                while found := _TOKEN.match(line, pos):
+                tokens, ends = [], [0]
+                while found := _TOKEN.match(line, ends[-1]):
                     tokens.append(found[1].decode().rstrip("."))
-                    pos = found.end()
+                    ends.append(found.end())
                 if expression := postfix(tokens):
-                    out.append(Statement(n, "tag", expression))
+                    # It is read up to its last operand or operator.
+                    operands = [i for i, t in enumerate(tokens, 1) if t not in ("(", ")")]
+                    read = terms(line[: ends[operands[len(expression) - 1]]])
+                    out.append(Statement(n, n + len(read), "tag", expression))
             at += 1
             if at == len(behind):
                 break
@@ -250,19 +256,19 @@ class Scanner:
                 tokens += [joint, label]
             else:
                 if tokens:
-                    out.append(Statement(begin, "notice", postfix(tokens)))
+                    out.append(Statement(begin, outer[n - 1][1], "notice", postfix(tokens)))
                 tokens, begin = [label], first
         if tokens:
-            out.append(Statement(begin, "notice", postfix(tokens)))
+            out.append(Statement(begin, outer[-1][1], "notice", postfix(tokens)))
         return out
 
 
-RESULT = "n_words bigint, places array<struct<word: bigint, label: string>>, statements array<struct<word: bigint, kind: string, expression: string, grade: double, labels: array<string>>>"
+RESULT = "n_words bigint, places array<struct<word: bigint, label: string>>, statements array<struct<word: bigint, end: bigint, kind: string, expression: string, grade: double, labels: array<string>>>"
 
 
 def license_scan(docs: DataFrame, base: Mapping[str, str] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_words, ``places`` (word, label) of the base
-    phrases, and ``statements`` (word, kind, expression in postfix form, grade, labels).
+    phrases, and ``statements`` (word, end, kind, expression in postfix form, grade, labels).
 
     Words count from 0; phrases that overlap all count. A tag whose expression can't be
     read gives no statement; of one that breaks off, the part that can be read counts. A
@@ -281,10 +287,10 @@ def license_scan(docs: DataFrame, base: Mapping[str, str] = BASE, id_col: str =
                 found = []
                 for s in statements:
                     grade, names = evaluate(s.expression)
-                    found.append({"word": s.word, "kind": s.kind, "expression": " ".join(s.expression), "grade": grade, "labels": sorted(names)})
+                    found.append({"word": s.word, "end": s.end, "kind": s.kind, "expression": " ".join(s.expression), "grade": grade, "labels": sorted(names)})
                 all_statements.append(found)
             place = pa.struct([("word", pa.int64()), ("label", pa.string())])
-            statement = pa.struct([("word", pa.int64()), ("kind", pa.string()), ("expression", pa.string()), ("grade", pa.float64()), ("labels", pa.list_(pa.string()))])
+            statement = pa.struct([("word", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("expression", pa.string()), ("grade", pa.float64()), ("labels", pa.list_(pa.string()))])
             arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(all_places, pa.list_(place)), pa.array(all_statements, pa.list_(statement))]
             yield pa.RecordBatch.from_arrays(arrays, [id_col, "n_words", "places", "statements"])
 
