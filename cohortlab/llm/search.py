@@ -153,20 +153,20 @@ def accumulate(plan: SharingPlan, values: np.ndarray, found: np.ndarray, row: np
     return out
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list]:
-    """Items (key, terms) in groups of at most ``limit`` terms; an item with more has its own."""
-    total = items.agg(F.sum(F.size("terms"))).first()[0] or 0
-    groups = max(1, math.ceil(total / limit))
-    while True:
-        dealt = items.withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(groups)))
-        sizes = dealt.groupBy("_block").agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("items"))
-        if not sizes.filter((F.col("n") > limit) & (F.col("items") > 1)).limit(1).collect():
-            break
-        groups *= 2
-    for block in range(groups):
-        rows = dealt.filter(F.col("_block") == block).drop("_block").collect()
-        if rows:
-            yield rows
+def _blocks(items: DataFrame, limit: int, depth: int = 0) -> Iterator[list]:
+    """Items (key, terms) in groups of at most ``limit`` terms; an item with more has its own.
+
+    Items are dealt by hash; a group that turns out too large is dealt again by another hash.
+    """
+    groups = max(1, math.ceil((items.agg(F.sum(F.size("terms"))).first()[0] or 0) / limit)) + (depth > 0)
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64(F.lit(depth), "key"), F.lit(groups)))
+    sizes = dealt.groupBy("_block").agg(F.sum(F.size("terms")).alias("n"), F.count("*").alias("items"))
+    for block, n, count in sorted(tuple(r) for r in sizes.collect()):
+        own = dealt.filter(F.col("_block") == block).drop("_block")
+        if n <= limit or count == 1:
+            yield own.collect()
+        else:
+            yield from _blocks(own, limit, depth + 1)
 
 
 def ranked_search(
