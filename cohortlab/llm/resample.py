@@ -187,6 +187,7 @@ def importance_resample(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, utf8(text_col).alias("_text")).mapInArrow(weigh, f"`{id_col}` {kind}, n_words bigint, n_features bigint, weight bigint")
     rows = rows.withColumn("score", F.col("weight") + noise(id_col, seed)).withColumn("_in", F.col("n_words") >= least_words)
+    rows = materialise(rows, "weighed")  # dealing by range reads its input twice: not the texts
     ranked = _ranked(rows, [F.col("_in").desc(), F.col("score").desc(), F.col(f"`{id_col}`").asc_nulls_last()])
     drawn = ranked.filter("_in").count() * percent // 100
     rank = F.when(F.col("_place") < drawn, F.col("_place") + 1)
