@@ -4,53 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.functions.columns import exprs, percent_text
 from cohortlab.models.trees import in_parallel
-from cohortlab.operators.metrics import ranking_quality
+from cohortlab.operators.metrics import ScoreTable, ranking_quality, score_counts
+from cohortlab.session import Written, exists, fresh_path
 
 
-def categories(df: DataFrame, column: str, limit: int = 100) -> list[str]:
+def categories(df: DataFrame, column: str) -> list[str]:
     """Distinct non-null categories in text order; each one costs a model fit."""
-    rows = df.where(f"{column} IS NOT NULL").select(column).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return [r[0] for r in rows]
+    rows = df.where(f"{column} IS NOT NULL").select(F.col(column).cast("string").alias("c")).distinct().orderBy("c")
+    return [r["c"] for r in rows.collect()]
 
 
 def leave_one_group_out(
     df: DataFrame, column: str, label: str,
     fit_and_score: Callable[[DataFrame, DataFrame], DataFrame],
+    width: int = 4, folder: str | None = None,
 ) -> DataFrame:
     """Train on all other categories, test on the one held out, for each category.
 
-    ``fit_and_score(train, test)`` gives (y_true, p) rows. The predictions of all
-    rounds are stacked and judged together; AUC and average precision are NULL
-    where the held-out rows have one class.
+    ``fit_and_score(train, test)`` gives (y_true, p) rows; ``width`` categories run side by
+    side, whatever their number. Each leaves its score counts in ``folder`` when done, and
+    a walk that starts again there goes on with those that are missing. All are then
+    judged together; AUC and average precision are NULL where the held-out rows have one
+    class or none could be scored.
     """
     known = df.where(f"{column} IS NOT NULL")
+    spark = df.sparkSession
+    folder = folder or fresh_path(spark, "held-out")
 
-    def run(held: str) -> DataFrame:
-        text = held.replace("'", "\\'")
-        scored = fit_and_score(known.where(f"{column} != '{text}'"), known.where(f"{column} = '{text}'"))
-        return scored.selectExpr(f"'{text}' AS held_out_category", "y_true", "p")
+    def run(item: tuple[int, str]) -> None:
+        i, held = item
+        path = f"{folder}/part={i}"
+        if exists(spark, f"{path}/_SUCCESS"):
+            return
+        own = F.col(column).cast("string") == F.lit(held)
+        scored = fit_and_score(known.where(~own), known.where(own))
+        counts = score_counts(scored.select(F.lit(held).alias("held_out_category"), "y_true", "p"), by=["held_out_category"])
+        counts.write.mode("overwrite").parquet(path)
 
-    parts = in_parallel(run, categories(known, column))
-    stacked = parts[0]
-    for other in parts[1:]:
-        stacked = stacked.unionByName(other)
-    quality = ranking_quality(stacked, by=["held_out_category"])
-    sizes = known.groupBy(column).agg(*exprs([
+    found = list(enumerate(categories(df, column)))
+    in_parallel(run, found, width)
+    schema = "held_out_category string, threshold double, refused string, tp bigint, fp bigint"
+    counts = spark.read.schema(schema).parquet(*[f"{folder}/part={i}" for i, _ in found]) if found else spark.createDataFrame([], schema)
+    quality = ranking_quality(ScoreTable(Written(folder, counts), ("held_out_category",)), by=["held_out_category"])
+    sizes = known.groupBy(F.col(column).cast("string").alias("held_out_category")).agg(*exprs([
         "count(*) AS n_test", f"cast(sum({label}) AS bigint) AS n_test_deaths"
     ])).selectExpr(
-        f"{column} AS held_out_category",
+        "held_out_category",
         "sum(n_test) OVER () - n_test AS n_train",
         "sum(n_test_deaths) OVER () - n_test_deaths AS n_train_deaths",
         "n_test",
         "n_test_deaths",
     )
-    return sizes.join(quality, "held_out_category").selectExpr(
+    return sizes.join(quality, "held_out_category", "left").selectExpr(
         "held_out_category", "n_train", "n_train_deaths", "n_test", "n_test_deaths",
         f"{percent_text('n_test_deaths / n_test')} AS test_mortality",
         "roc_auc AS test_roc_auc",

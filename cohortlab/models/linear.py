@@ -16,7 +16,7 @@ from cohortlab.models.prepare import Scaling, fit_scaling, scaled_name
 
 
 def fit_logistic(
-    train: DataFrame, columns: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000
+    train: DataFrame, columns: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-10
 ) -> PipelineModel:
     """Impute, scale, classify.
 
@@ -33,6 +33,7 @@ def fit_logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
+        tol=tol,
     )
     rows = assemble.transform(scale.transform(train.selectExpr("*", f"cast({label} AS double) AS label")))
     return PipelineModel(stages=[scale, assemble, learner.fit(rows.select("features", "label"))])

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.functions.columns import exprs, lines, number, quoted, ratio_or_zero
 from cohortlab.operators.ordered import bits_for, exact_quantiles, running_totals
@@ -40,41 +40,45 @@ REFUSALS = {
 @dataclass(frozen=True)
 class ScoreTable:
     """What every metric derives from: one row per group and distinct score, with the true
-    (tp) and false (fp) positives it adds. Tables of parts add up to that of the whole."""
+    (tp) and false (fp) positives it adds, and one row per reason for the rows refused.
+    Tables of parts add up to that of the whole."""
 
     written: Written
     by: tuple[str, ...] = ()
-    observed: Observation | None = None
 
     @property
     def counts(self) -> DataFrame:
-        return self.written.rows
+        return self.written.rows.where("refused IS NULL").drop("refused")
+
+    @property
+    def refused(self) -> dict[str, int]:
+        """Rows refused by reason, and rows taken: counted in the pass that wrote the table."""
+        found = self.written.rows.groupBy(F.expr("coalesce(refused, 'taken') AS reason")).agg(F.expr("sum(tp + fp) AS n"))
+        return dict.fromkeys([*REFUSALS, "taken"], 0) | {r["reason"]: r["n"] for r in found.collect()}
 
     def drop(self) -> None:
         """Removes the written table; nothing that reads it may run afterwards."""
-        remove(self.counts.sparkSession, self.written.path)
+        remove(self.written.rows.sparkSession, self.written.path)
 
-    @property
-    def refused(self) -> dict[str, int]:
-        """Rows refused by reason, and rows taken, as counted in the pass that wrote the table."""
-        return self.observed.get if self.observed else {}
 
+def score_counts(scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, refused, tp, fp): one row per group and distinct score, and one per
+    reason (without group and score, in fp) for the rows that have no score, no label of 0
+    or 1, or no group.
 
-def score_counts(
-    scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = (), observed: Observation | None = None
-) -> DataFrame:
-    """One row per distinct score: true (tp) and false (fp) positives it adds. Rows without a
-    score or a label of 0 or 1, or without their group, are refused and, if asked, counted."""
+    The refused are counted as rows of this aggregate, not by ``DataFrame.observe``: a
+    session that has observed once can't run freshly fitted logistic models any more,
+    whose summaries take the session into their closures.
+    """
     group = " OR ".join(f"{c} IS NULL" for c in by) or "false"
-    rows = scored.selectExpr(*by, f"cast({score} AS double) AS _p", f"cast({label} AS double) AS _y", f"({group}) AS _g")
     reason = "CASE " + " ".join(f"WHEN {test} THEN {quoted(name)}" for name, test in REFUSALS.items()) + " END"
-    rows = rows.selectExpr("*", f"{reason} AS _refused")
-    if observed is not None:
-        rows = rows.observe(observed, *exprs([
-            *[f"count_if(_refused = {quoted(name)}) AS {name}" for name in REFUSALS], "count_if(_refused IS NULL) AS taken"
-        ]))
-    rows = rows.where("_refused IS NULL").selectExpr(*by, "_p AS threshold", "cast(_y AS bigint) AS _y")
-    return rows.groupBy(*by, "threshold").agg(*exprs(["sum(_y) AS tp", "sum(1 - _y) AS fp"]))
+    rows = scored.selectExpr(*by, f"cast({score} AS double) AS _p", f"cast({label} AS double) AS _y", f"({group}) AS _g")
+    rows = rows.selectExpr("*", f"{reason} AS refused").selectExpr(
+        *[f"CASE WHEN refused IS NULL THEN {c} END AS {c}" for c in by],
+        "CASE WHEN refused IS NULL THEN _p END AS threshold", "refused",
+        "CASE WHEN refused IS NULL THEN cast(_y AS bigint) ELSE 0L END AS _y",
+    )
+    return rows.groupBy(*by, "threshold", "refused").agg(*exprs(["sum(_y) AS tp", "sum(1 - _y) AS fp"]))
 
 
 def score_table(scored: DataFrame | ScoreTable, label: str = "y_true", score: str = "p", by: Sequence[str] = ()) -> ScoreTable:
@@ -83,8 +87,7 @@ def score_table(scored: DataFrame | ScoreTable, label: str = "y_true", score: st
         if tuple(by) != scored.by:
             raise ValueError(f"the table is by {scored.by}, not by {tuple(by)}")
         return scored
-    observed = Observation()
-    return ScoreTable(Written.of(score_counts(scored, label, score, by, observed), "score-counts"), tuple(by), observed)
+    return ScoreTable(Written.of(score_counts(scored, label, score, by), "score-counts"), tuple(by))
 
 
 def cumulative_counts(

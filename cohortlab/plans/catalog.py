@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions import contract as k
@@ -13,7 +14,7 @@ from cohortlab.models.split import FOLDS
 from cohortlab.operators import audit, cohort as co, metrics, rates
 from cohortlab.operators.readings import first_day, restrict
 from cohortlab.plans import features as fe, reports
-from cohortlab.plans.study import Study, fold_summary, quality_row
+from cohortlab.plans.study import GROUP, Study, fold_summary, quality_row
 from cohortlab.session import fresh_path, materialise
 from cohortlab.sources import readers, schemas, sinks, standin
 from cohortlab.sources.readers import Tables
@@ -29,6 +30,20 @@ REASON_WEIGHTS = {
 EARLY = trees.Boosting("early", 500, 0.05, 31, 20)
 EARLY_PATIENCE, SEARCH_PATIENCE = 30, 50
 
+# Two small trees over (age, hr_mean, bun_max), as
+# (tree, id, prediction, cover, left, right, feature, cut, categories), and their weights.
+FIXED_FEATURES = ("age", "hr_mean", "bun_max")
+FIXED_NODES = (
+    (0, 0, 0.0, 100.0, 1, 2, 0, [65.0], -1), (0, 1, 0.0, 60.0, 3, 4, 1, [90.0], -1), (0, 2, 0.0, 40.0, 5, 6, 2, [30.0], -1),
+    (0, 3, -0.6, 35.0, -1, -1, -1, [], -1), (0, 4, 0.1, 25.0, -1, -1, -1, [], -1), (0, 5, 0.0, 25.0, 7, 8, 1, [100.0], -1),
+    (0, 6, 0.9, 15.0, -1, -1, -1, [], -1), (0, 7, 0.2, 15.0, -1, -1, -1, [], -1), (0, 8, 0.5, 10.0, -1, -1, -1, [], -1),
+    (1, 0, 0.0, 100.0, 1, 2, 2, [20.0], -1), (1, 1, 0.0, 70.0, 3, 4, 2, [10.0], -1), (1, 2, 0.0, 30.0, 5, 6, 0, [50.0], -1),
+    (1, 3, -0.4, 30.0, -1, -1, -1, [], -1), (1, 4, -0.1, 40.0, -1, -1, -1, [], -1), (1, 5, 0.3, 10.0, -1, -1, -1, [], -1),
+    (1, 6, 0.8, 20.0, -1, -1, -1, [], -1),
+)
+FIXED_TREE_WEIGHTS = (1.0, 0.1)
+TWO_FEATURES = ("age", "gcs_mean")
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 _STUDIES: dict[tuple[str, str], Study] = {}
@@ -664,11 +679,113 @@ def generalisation_report(spark, sf_dir):
     return generalise.presentation(study(spark, sf_dir).cross_group)
 
 
+# --- the same operators on fixed models, which SQL can follow ---------------------
+
+def _fixed_leaves() -> list[attribution.Leaf]:
+    columns = ["tree", "id", "prediction", "cover", "left", "right", "feature", "cut", "categories"]
+    return attribution.leaves_from(pd.DataFrame(list(FIXED_NODES), columns=columns), FIXED_TREE_WEIGHTS)
+
+
+def _fixed_phi(s: Study) -> DataFrame:
+    cells = ", ".join(f"coalesce(cast({c} AS double), {trees.FILL_VALUE}D)" for c in FIXED_FEATURES)
+    vectors = s.features.selectExpr(k.STAY_ID, f"array({cells}) AS x")
+    return attribution.leaf_attributions(vectors, k.STAY_ID, FIXED_FEATURES, _fixed_leaves())
+
+
+@query
+def fixed_attributions(spark, sf_dir):
+    """Attributions of two given trees on every stay."""
+    return rounded(_fixed_phi(study(spark, sf_dir)), "phi")
+
+
+@query
+def fixed_importance(spark, sf_dir):
+    """Mean absolute attribution per feature, beside the overall mean."""
+    phi = materialise(_fixed_phi(study(spark, sf_dir)), "fixed-phi")
+    df = attribution.importance(phi).withColumn("mean_phi", attribution.mean_attribution(phi).scalar())
+    return rounded(df, "mean_abs_shap", "mean_phi")
+
+
+@query
+def fixed_extreme_reasons(spark, sf_dir):
+    """The contributions of the stays with the highest and the lowest probability."""
+    s = study(spark, sf_dir)
+    phi = materialise(_fixed_phi(s), "fixed-phi")
+    base = attribution.base_value(_fixed_leaves())
+    margin = phi.groupBy(k.STAY_ID).agg(F.expr(f"round({base!r}D + sum(phi), 9) AS z"))
+    scored = margin.join(s.features, k.STAY_ID).selectExpr(k.STAY_ID, f"{k.TARGET} AS y_true", "1 / (1 + exp(-z)) AS p")
+    return rounded(attribution.extreme_reasons(phi, scored, k.STAY_ID, base, top=2), "p", "base_value", "phi")
+
+
+@query
+def attribution_reload(spark, sf_dir):
+    """Attributions written by feature and read back."""
+    phi = materialise(_fixed_phi(study(spark, sf_dir)), "fixed-phi")
+    path = fresh_path(spark, "attributions")
+    sinks.write_attributions(phi, path)
+    again = spark.read.schema(phi.schema).parquet(path)
+    return sinks.reload_check(phi, path, again).selectExpr("'attributions' AS sink", "*")
+
+
+def _unit_rates(train: DataFrame, test: DataFrame) -> DataFrame:
+    """A scorer in closed form: the train rate of the unit type, and a little for age."""
+    rates = train.groupBy("unittype").agg(F.expr(f"avg({k.TARGET}) AS rate")).withColumnRenamed("unittype", "_unit")
+    joined = test.join(F.broadcast(rates), F.expr("unittype <=> _unit"), "left")  # one row a unit type
+    return joined.selectExpr(f"cast({k.TARGET} AS double) AS y_true", "coalesce(rate, 0D) + coalesce(cast(age AS double), 0D) / 1000D AS p")
+
+
+def _fixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generalise.leave_one_group_out(study(spark, sf_dir).features, GROUP, k.TARGET, _unit_rates)
+
+
+@query
+def fixed_group_out(spark, sf_dir):
+    return rounded(_fixed_groups(spark, sf_dir), "test_roc_auc", "test_pr_auc")
+
+
+@query
+def fixed_group_summary(spark, sf_dir):
+    df = generalise.summary(materialise(_fixed_groups(spark, sf_dir), "fixed-groups"), 0.8)
+    return rounded(df, "mean_roc_auc", "std_roc_auc")
+
+
+@query
+def fixed_group_report(spark, sf_dir):
+    return generalise.presentation(_fixed_groups(spark, sf_dir))
+
+
+@query
+def lr_two_features(spark, sf_dir):
+    """The weights of a fitted pipeline on two features."""
+    s = study(spark, sf_dir)
+    weights, intercept = linear.coefficients(linear.fit_logistic(s.train, TWO_FEATURES, k.TARGET), TWO_FEATURES)
+    rows = [("intercept", intercept), *weights.items()]
+    return spark.createDataFrame(rows, "feature string, weight double").selectExpr("feature", "round(weight, 5) AS weight")
+
+
+@query
+def lr_two_feature_scores(spark, sf_dir):
+    """Probabilities of the test rows by the same pipeline."""
+    s = study(spark, sf_dir)
+    model = linear.fit_logistic(s.train, TWO_FEATURES, k.TARGET)
+    return linear.score(model, s.test, k.STAY_ID, k.TARGET).selectExpr(k.STAY_ID, "y_true", "round(p, 5) AS p")
+
+
+@query
+def gbt_first_split(spark, sf_dir):
+    """Leaf values and sizes of a tree of one split, as the boosting loop grows its first."""
+    rows, bins = study(spark, sf_dir).matrix
+    stump = trees.Boosting("stump", 1, 0.05, 2, 20)
+    grown = stepwise.grow(rows.where("split = 'train'"), [stepwise.Series(stump, "true", "true")], 1, bins).rows
+    leaves = grown.groupBy(F.expr("round(margin_at_best[0], 6) AS leaf")).agg(*exprs(["count(*) AS n", "cast(sum(label) AS bigint) AS n_pos"]))
+    return leaves
+
+
 # --- sinks ----------------------------------------------------------------------
 
 @query
 def sink_reload(spark, sf_dir):
-    """Write each product, read it back, and compare rows and columns."""
+    """Write each product, read it back, and compare counts, columns and every value."""
     s = study(spark, sf_dir)
     checks = []
 

@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlab.functions import contract as k
-from cohortlab.functions.columns import exprs
+from cohortlab.functions.columns import exprs, number
 from cohortlab.models import generalise, linear, stepwise, trees
 from cohortlab.models.attribution import attributions, base_value, leaves_of
 from cohortlab.models.split import FOLDS, study_split
@@ -136,16 +136,25 @@ class Study:
 
     @cached_property
     def cross_group(self) -> DataFrame:
-        """Leave-one-group-out results; the class weight comes from all rows."""
+        return materialise(self.held_out_groups(), "cross-group")
+
+    def held_out_groups(self, weight_from: str = "all") -> DataFrame:
+        """Leave-one-group-out results. The class weight comes from all rows, as the published
+        figures do it, or with ``weight_from="train"`` from each round's own train rows."""
+        if weight_from not in ("all", "train"):
+            raise ValueError(weight_from)
         known = self.rows.where(f"{GROUP} IS NOT NULL")
-        rows = self.prepared(known, trees.positive_weight(known, k.TARGET))
+        overall = trees.positive_weight(known, k.TARGET) if weight_from == "all" else 1.0
+        rows = self.prepared(known, overall)
 
         def fit_and_score(train: DataFrame, test: DataFrame) -> DataFrame:
+            if weight_from == "train":
+                own = trees.positive_weight(train, k.TARGET)
+                train = train.selectExpr("* EXCEPT (weight)", f"CASE WHEN label = 1 THEN {number(own)} ELSE 1.0D END AS weight")
             model = trees.fit_boosted(train, trees.FINAL, self.max_categories)
             return trees.score_boosted(model, test, [k.STAY_ID])
 
-        found = generalise.leave_one_group_out(rows, GROUP, k.TARGET, fit_and_score)
-        return materialise(found, "cross-group")
+        return generalise.leave_one_group_out(rows, GROUP, k.TARGET, fit_and_score)
 
 
 def quality_row(scored: DataFrame, model: str) -> DataFrame:

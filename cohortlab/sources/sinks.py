@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from cohortlab.functions.columns import exprs
 from cohortlab.sources.schemas import assert_schema
 
 
@@ -15,16 +16,34 @@ def write_table(df: DataFrame, path: str, schema: StructType | None = None) -> N
     df.write.mode("overwrite").parquet(path)
 
 
-def reload_check(df: DataFrame, path: str) -> DataFrame:
-    """Reread a written table; one row with both row counts and both widths."""
-    again = df.sparkSession.read.parquet(path)
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row (n, low, high) that depends on the rows as a multiset: not on their order or
+    partitions, but on every value, on which cells are NULL, and on how often a row occurs.
+
+    Two hashes of a row, each added up without overflow; map-side sums, one small row.
+    """
+    names = [f"`{c}`" for c in df.columns]
+    nulls = ", ".join(f"{c} IS NULL" for c in names)
+    row = f"{nulls}, {', '.join(names)}"
+    return df.selectExpr(f"xxhash64({row}) AS a", f"xxhash64('second', {row}) AS b").agg(*exprs([
+        "count(*) AS n", "sum(cast(a AS decimal(20, 0))) AS low", "sum(cast(b AS decimal(20, 0))) AS high",
+    ]))
+
+
+def reload_check(df: DataFrame, path: str, again: DataFrame | None = None) -> DataFrame:
+    """Reread a written table; one row with both row counts, both widths, and whether the
+    rows agree value by value. Columns are compared by name, in the order of ``df``."""
+    again = df.sparkSession.read.parquet(path) if again is None else again
+    again = again.select(*[F.col(f"`{c}`") for c in df.columns], *[c for c in again.columns if c not in df.columns])
     assert_schema(again.schema, df.schema)
-    written = df.agg(F.count("*").alias("n")).scalar()
-    return again.agg(F.count("*").alias("n_reloaded")).select(
-        written.alias("n_written"),
+    ours, theirs = (fingerprint(x).selectExpr(f"n AS n_{tag}", f"struct(n, low, high) AS {tag}") for x, tag in ((df, "written"), (again, "reloaded")))
+    both = theirs.withColumns({"n_written": ours.select("n_written").scalar(), "written": ours.select("written").scalar()})
+    return both.select(
+        "n_written",
         "n_reloaded",
         F.lit(len(df.columns)).alias("columns_written"),
         F.lit(len(again.columns)).alias("columns_reloaded"),
+        F.expr("written <=> reloaded").alias("same_rows"),
     )
 
 

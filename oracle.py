@@ -558,6 +558,117 @@ ORACLE["batch_score_bands"] = _with("cohort raw_features", f"""
 ORACLE["defaults_document"] = ORACLE["feature_defaults"]
 
 
+# --- fixed trees: every coalition of three features, node by node ---
+_COALITIONS = """x as (select patientunitstayid, coalesce(age::double, -1) as a, coalesce(hr_mean, -1) as h,
+    coalesce(bun_max, -1) as b, in_hospital_mortality as y from raw_features),
+worth as (select x.*, ka, kh, kb,
+    case when kh = 1 then case when h <= 100 then 0.2::double else 0.5::double end else 0.32::double end as n5,
+    case when kb = 1 then case when b <= 30 then n5 else 0.9::double end else 0.625::double * n5 + 0.375::double * 0.9 end as n2,
+    case when kh = 1 then case when h <= 90 then -0.6::double else 0.1::double end
+      else (35 * -0.6::double + 25 * 0.1::double) / 60 end as n1,
+    case when ka = 1 then case when a <= 65 then n1 else n2 end else 0.6::double * n1 + 0.4::double * n2 end as t0,
+    case when kb = 1 then case when b <= 10 then -0.4::double else -0.1::double end
+      else (30 * -0.4::double + 40 * -0.1::double) / 70 end as m1,
+    case when ka = 1 then case when a <= 50 then 0.3::double else 0.8::double end
+      else (10 * 0.3::double + 20 * 0.8::double) / 30 end as m2,
+    case when kb = 1 then case when b <= 20 then m1 else m2 end else 0.7::double * m1 + 0.3::double * m2 end as t1,
+    2 * (t0 + 0.1::double * t1) as v
+  from x, range(2) r1(ka), range(2) r2(kh), range(2) r3(kb)),
+phi as (
+  select patientunitstayid, 'age' as feature, sum((2 * ka - 1) * v / case when kh + kb = 1 then 6 else 3 end) as phi from worth group by 1
+  union all select patientunitstayid, 'hr_mean', sum((2 * kh - 1) * v / case when ka + kb = 1 then 6 else 3 end) from worth group by 1
+  union all select patientunitstayid, 'bun_max', sum((2 * kb - 1) * v / case when ka + kh = 1 then 6 else 3 end) from worth group by 1),
+base as (select any_value(v) as base from worth where ka + kh + kb = 0),
+scored as (select patientunitstayid, y, 1 / (1 + exp(-round(v, 9))) as p from worth where ka + kh + kb = 3),
+ends as ((select 'highest' as side, * from scored order by p desc, patientunitstayid limit 1)
+  union all (select 'lowest', * from scored order by p, patientunitstayid limit 1))"""
+ORACLE["fixed_attributions"] = _with("raw_features", "select patientunitstayid, feature, round(phi, 6) as phi from phi", _COALITIONS)
+ORACLE["fixed_importance"] = _with("raw_features", """select feature, round(avg(abs(phi)), 6) as mean_abs_shap,
+    round((select avg(phi) from phi), 6) as mean_phi from phi group by feature""", _COALITIONS)
+ORACLE["fixed_extreme_reasons"] = _with("raw_features", """select side, e.patientunitstayid, y as y_true, round(p, 6) as p,
+    round(base, 6) as base_value, feature, round(phi, 6) as phi,
+    row_number() over (partition by side order by abs(round(phi, 9)) desc, feature)::int as rank
+    from ends e join phi using (patientunitstayid), base qualify rank <= 2""", _COALITIONS)
+ORACLE["attribution_reload"] = _with("cohort", """select 'attributions' as sink, 3 * count(*) as n_written, 3 * count(*) as n_reloaded,
+    3 as columns_written, 3 as columns_reloaded, true as same_rows from cohort""")
+ORACLE["sink_reload"] = _with("cohort", f"""select *, n_written as n_reloaded, columns_written as columns_reloaded, true as same_rows from (
+    select 'features' as sink, count(*) as n_written, {len(_FEATURE_COLUMNS)} as columns_written from cohort
+    union all select 'predictions of the reloaded model', count(*), 3 from splitted where split = 'test'
+    union all select 'thresholds', 3, 2)""", _SPLIT)
+
+# --- leave one group out with a scorer in closed form ---
+_GROUPS = f"""d as (select patientunitstayid, numbedscategory as g, unittype, age, in_hospital_mortality as y from demo),
+held as (select distinct g from d where g is not null),
+scored as (select held.g as held_out_category, d.y as y_true, coalesce((select avg(t.y) from d t where t.g is not null and t.g <> held.g
+      and t.unittype is not distinct from d.unittype), 0) + coalesce(d.age::double, 0) / 1000::double as p
+    from held join d using (g)),
+quality as ({_auc('select * from scored', 'held_out_category', 15)}),
+results as (select q.held_out_category, (select count(*) from d where g <> q.held_out_category) as n_train,
+    (select sum(y) from d where g <> q.held_out_category)::bigint as n_train_deaths, n as n_test, n_pos as n_test_deaths,
+    printf('%.2f%%', 100.0 * n_pos / n) as test_mortality, roc_auc as test_roc_auc, average_precision as test_pr_auc from quality q)"""
+ORACLE["fixed_group_out"] = _with("demo", """select * replace (round(test_roc_auc, 6) as test_roc_auc, round(test_pr_auc, 6) as test_pr_auc)
+    from results""", _GROUPS)
+ORACLE["fixed_group_summary"] = _with("demo", """select round(avg(test_roc_auc), 6) as mean_roc_auc,
+    round(stddev_samp(test_roc_auc), 6) as std_roc_auc, count(test_roc_auc) as n_categories, 0.8::double as in_distribution_roc_auc,
+    round(100 * (0.8::double - avg(test_roc_auc)), 1) as gap_points from results""", _GROUPS)
+ORACLE["fixed_group_report"] = _with("demo", """select held_out_category as "Held-out category", n_train as "N train",
+    n_train_deaths as "Train deaths", n_test as "N test", n_test_deaths as "Test deaths", test_mortality as "Test mortality",
+    round(test_roc_auc, 3) as "ROC-AUC", round(test_pr_auc, 3) as "PR-AUC" from results""", _GROUPS)
+
+
+# --- logistic regression on two features: Newton steps, one table each ---
+def _newton(columns: list[str], steps: int = 12) -> str:
+    """Weights it<steps> of the summed log loss with half the squared weights as penalty; the
+    system of three equations is solved by elimination, column by column."""
+    a, b = (f"z_{c}" for c in columns)
+    parts = ["train as (select z.*, in_hospital_mortality as y from z join labelled using (patientunitstayid) where split = 'train')",
+             "it0 as (select 0.0::double as w0, 0.0::double as w1, 0.0::double as w2)"]
+    for i in range(steps):
+        parts.append(f"""it{i + 1} as (
+          with p as (select {a} as a, {b} as b, y, 1 / (1 + exp(-(w0 + w1 * {a} + w2 * {b}))) as p from train, it{i}),
+          h as (select sum(p * (1 - p)) as h00, sum(p * (1 - p) * a) as h01, sum(p * (1 - p) * b) as h02, sum(p * (1 - p) * a * a) + 1 as h11,
+              sum(p * (1 - p) * a * b) as h12, sum(p * (1 - p) * b * b) + 1 as h22,
+              sum(p - y) as g0, sum((p - y) * a) as s1, sum((p - y) * b) as s2 from p),
+          e as (select *, s1 + w1 as g1, s2 + w2 as g2, h11 - h01 * h01 / h00 as k11, h12 - h01 * h02 / h00 as k12,
+              h22 - h02 * h02 / h00 as k22, g1 - h01 * g0 / h00 as r1, g2 - h02 * g0 / h00 as r2 from h, it{i}),
+          d as (select *, (r2 - k12 * r1 / k11) / (k22 - k12 * k12 / k11) as d2, (r1 - k12 * d2) / k11 as d1,
+              (g0 - h01 * d1 - h02 * d2) / h00 as d0 from e)
+          select w0 - d0 as w0, w1 - d1 as w1, w2 - d2 as w2 from d)""")
+    return ", ".join(parts)
+
+
+_TWO = f"{_scaled()}, {_newton(['age', 'gcs_mean'])}"
+ORACLE["lr_two_features"] = _with("cohort raw_features", """select 'intercept' as feature, round(w0, 5) as weight from it12
+    union all select 'age', round(w1, 5) from it12 union all select 'gcs_mean', round(w2, 5) from it12""", _TWO)
+ORACLE["lr_two_feature_scores"] = _with("cohort raw_features", """select patientunitstayid, in_hospital_mortality::double as y_true,
+    round(1 / (1 + exp(-(w0 + w1 * z_age + w2 * z_gcs_mean))), 5) as p
+    from z join labelled using (patientunitstayid), it12 where split = 'test'""", _TWO)
+
+
+# --- the first split of boosting: every cut of every quantised feature ---
+_CUTS = ", ".join(f"{i} / 31.0::double" for i in range(1, 31))
+_STUMP = f"""{_SPLIT},
+t as (select raw_features.*, 2 * raw_features.in_hospital_mortality - 1 as y from raw_features join splitted using (patientunitstayid)
+    where split = 'train'),
+weighted as (select patientunitstayid as id, y, case when y = 1 then
+    (select count(*) filter (where y = -1)::double / count(*) filter (where y = 1) from t) else 1 end as w from t),
+long as ({" union all ".join(f"select patientunitstayid as id, '{c}' as f, {c}::int::double as v from t" if c.endswith("_missing") else
+    f"select patientunitstayid as id, '{c}' as f, {c}::double as v from t" for c in _NUMERIC)}),
+edges as (select f, list_distinct(quantile_cont(v, [{_CUTS}])) as e from long group by f),
+cells as (select id, f, case when v is null then 0 else 1 + len(list_filter(e, lambda x: x < v)) end::varchar as bin, true as is_number
+      from long join edges using (f)
+    {" ".join(f"union all select patientunitstayid, '{c}', coalesce({c}, '(null)'), false from t" for c in _CATEGORIES)}),
+groups as (select f, bin, count(*) as n, count(*) filter (where y = 1) as p, sum(w) as sw, sum(w * y) as sy,
+    case when any_value(is_number) then any_value(bin)::double else sum(w * y) / sum(w) end as place
+  from cells join weighted using (id) group by f, bin, is_number),
+cut as (select f, sum(n) over upto as n, sum(p) over upto as p, sum(sw) over upto as sw, sum(sy) over upto as sy,
+    sum(n) over whole as tn, sum(p) over whole as tp, sum(sw) over whole as tw, sum(sy) over whole as ty
+  from groups window upto as (partition by f order by place, bin rows unbounded preceding), whole as (partition by f)),
+best as (select * from cut where n >= 20 and tn - n >= 20 order by sy * sy / sw + (ty - sy) * (ty - sy) / (tw - sw) desc limit 1)"""
+ORACLE["gbt_first_split"] = _with("cohort raw_features", """select round(sy / sw, 6) as leaf, n::bigint as n, p::bigint as n_pos from best
+    union all select round((ty - sy) / (tw - sw), 6), (tn - n)::bigint, (tp - p)::bigint from best""", _STUMP)
+
+
 def _decimal_ties(sql: str) -> str:
     """``round(x, 6)`` by way of a nine-digit decimal, as the queries round, so ties agree."""
     out, at = [], 0

@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -133,6 +134,57 @@ def test_attributions_equal_the_shapley_definition(boosted):
             assert phi[j] == pytest.approx(want, abs=1e-9)
 
 
+def test_a_leaf_ten_features_deep_equals_the_definition():
+    rng = np.random.default_rng(4)
+    m = 10
+    leaf = at.Leaf(list(range(m)), [[("le", (0.0,), True)]] * m, rng.random(m) * (rng.random(m) > 0.2), 0.7)
+    met = (rng.random((5, m)) < 0.6).astype(float)
+    got = at.leaf_shapley(leaf, met)
+    for row, phi in zip(met, got):
+        for j in range(m):
+            others = [i for i in range(m) if i != j]
+            want = 0.0
+            for n in range(m):
+                w = math.factorial(n) * math.factorial(m - n - 1) / math.factorial(m)
+                for s in itertools.combinations(others, n):
+                    out = [i for i in others if i not in s]
+                    want += w * leaf.value * math.prod(row[list(s)]) * math.prod(leaf.shares[out]) * (row[j] - leaf.shares[j])
+            assert phi[j] == pytest.approx(want, abs=1e-12)
+
+
+def test_deep_trees_add_up_in_seconds():
+    """A full tree of depth 10 over ten features: 1,024 leaves, 2,000 rows."""
+    nodes, rng = [], np.random.default_rng(6)
+
+    def grow(depth, cover):
+        at_id = len(nodes)
+        nodes.append(None)
+        if depth == 10:
+            nodes[at_id] = (0, at_id, rng.normal(), cover, -1, -1, -1, [], -1)
+            return at_id
+        share = 0.2 + 0.6 * rng.random()
+        left, right = grow(depth + 1, cover * share), grow(depth + 1, cover * (1 - share))
+        nodes[at_id] = (0, at_id, 0.0, cover, left, right, depth, [float(rng.normal())], -1)
+        return at_id
+
+    grow(0, 1e6)
+    import pandas as pd
+
+    table = pd.DataFrame(nodes, columns=["tree", "id", "prediction", "cover", "left", "right", "feature", "cut", "categories"])
+    leaves = at.leaves_from(table, [1.0])
+    assert len(leaves) == 1024 and max(len(x.features) for x in leaves) == 10
+    x = rng.normal(size=(2000, 10))
+    start = time.perf_counter()
+    phi = at.attribute(x, leaves)
+    assert time.perf_counter() - start < 30
+    by_id = table.set_index("id").to_dict("index")
+    for row, got in zip(x[:50], phi):
+        n = by_id[0]
+        while n["left"] >= 0:
+            n = by_id[n["left"] if row[n["feature"]] <= n["cut"][0] else n["right"]]
+        assert at.base_value(leaves) + got.sum() == pytest.approx(2 * n["prediction"], abs=1e-9)
+
+
 def test_importance_and_extremes(spark):
     phi = spark.createDataFrame(
         [(1, "a", 2.0), (1, "b", -3.0), (2, "a", 0.5), (2, "b", 0.0), (3, "a", 1.0), (3, "b", 1.0)],
@@ -167,8 +219,27 @@ def test_leave_one_group_out(spark):
     s = generalise.summary(frame, 0.9).first()
     assert (s.mean_roc_auc, s.std_roc_auc, s.n_categories, s.gap_points) == (1.0, 0.0, 2, -10.0)
     assert generalise.presentation(frame).columns[0] == "Held-out category"
-    with pytest.raises(ValueError):
-        generalise.categories(df, "g", limit=2)
+
+
+def test_many_groups_and_a_walk_that_starts_again(spark, tmp_path):
+    """More groups than any ceiling; groups done before are not done again."""
+    df = spark.range(260).selectExpr("concat('it''s ', id % 130) AS g", "cast(id < 130 AS int) AS y")
+    done, fail = [], {"it's 7"}
+
+    def fit_and_score(train, test):
+        held = test.first().g
+        if held in fail:
+            raise RuntimeError(held)
+        done.append(held)
+        return test.selectExpr("cast(y AS double) AS y_true", "cast(y AS double) AS p")
+
+    folder = f"{tmp_path}/walk"
+    with pytest.raises(RuntimeError):
+        generalise.leave_one_group_out(df, "g", "y", fit_and_score, folder=folder)
+    fail.clear()
+    rows = generalise.leave_one_group_out(df, "g", "y", fit_and_score, folder=folder).collect()
+    assert len(rows) == 130 and {r.test_roc_auc for r in rows} == {1.0} and {r.n_train for r in rows} == {258}
+    assert sorted(done) == sorted(set(done)) and len(done) == 130
 
 
 def test_sweep_settings():
