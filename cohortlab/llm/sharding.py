@@ -1,12 +1,16 @@
 """Balanced label propagation: linked documents move to their neighbours' shards.
 
-Documents are linked when they share a group (here: equal texts). In each round a join
-counts how the members of each group lie over the shards; every document that isn't in
-the shard where most of its group lies, among the shards with room, asks to move there, if
-that raises the number of its neighbours beside it. A shard admits movers up to its quota, in an order fixed by
-hash; the quota is its even share less the linked documents that stay there, and is cut at a hash bucket, so no shard's applicants are ever sorted in
-one task. A last pass moves the rows above each shard's exact share, unlinked
-ones first, to the shards below theirs, and numbers the rows of each shard.
+Documents are linked when they share a group (here: equal texts). What propagates are
+counted cells: how many members a group has in each shard, at most one row a group and
+shard however many documents the group has; documents without neighbours take no part. In
+each round every cell that isn't where most of its group lies, among the shards with
+room, asks to move there, if that gives its members more neighbours. A shard admits
+movers up to its quota, in an order fixed by hash: a cell may move in part. Every move
+raises the number of neighbours beside each other, so rounds end by themselves, when no
+move is admitted. Then rows are placed once, by their rank within their group.
+
+A last pass moves the rows above each shard's exact share, unlinked ones first, to the
+shards below theirs, and numbers the rows of each shard.
 """
 
 from __future__ import annotations
@@ -15,52 +19,107 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import materialise, salted_join
+from cohortlab.llm.common import materialise
+from cohortlab.session import Written, rewritten
 
 BUCKETS = 1024
+#: A group is hot with more than one in so many rows, so there are fewer hot groups than that.
+HOT_SHARE = 1000
+#: Parts in which the rows of a hot group are ranked.
+PARTS = 64
 
 
-def _bucket(hashed: Column) -> Column:
-    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
+def _bucket(hashed: Column, n: int = BUCKETS) -> Column:
+    return F.pmod(hashed, F.lit(n)).cast("int")
 
 
-def propagate(rows: DataFrame, shards: int, rounds: int = 8, slack: float = 0.02, min_moves: float = 0.001) -> DataFrame:
-    """``rows`` (_row, _group, ...) with ``_shard`` and ``_linked``, the neighbours beside the row.
+def cells_of(rows: DataFrame, shards: int) -> DataFrame:
+    """(_group, _shard, _n) of the groups with two rows or more, each row in the shard of its hash."""
+    cells = rows.groupBy("_group", _first_shard(shards).alias("_shard")).agg(F.count("*").alias("_n"))
+    # At most ``shards`` cells a group.
+    return cells.withColumn("_m", F.sum("_n").over(W.partitionBy("_group"))).filter("_m > 1").drop("_m")
 
-    Stops after ``rounds`` rounds or when a round moves less than ``min_moves`` of the
-    linked rows. A shard may hold ``slack`` more than its even share meanwhile.
+
+def _first_shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")
+
+
+def _loads(cells: DataFrame, shards: int) -> list[int]:
+    found = {r["_shard"]: r["n"] for r in cells.groupBy("_shard").agg(F.sum("_n").alias("n")).collect()}  # one row a shard
+    return [found.get(s, 0) for s in range(shards)]
+
+
+def propagate(cells: DataFrame, total: int, shards: int, slack: float = 0.02, rounds: int | None = None) -> DataFrame:
+    """The cells (_group, _shard, _n) after propagation.
+
+    A shard that linked rows fill to its even share of ``total`` takes no more; while cells
+    move it may hold ``slack`` more. ``rounds`` ends the propagation early, if given.
     """
-    sizes = rows.groupBy("_group").agg(F.count("*").alias("_members"))
-    rows = salted_join(rows, sizes.filter("_members > 1"), ["_group"], F.col("_row"), "left", salts=8)
-    state = materialise(rows.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int")), "labels")
-    total, linked = state.agg(F.count("*"), F.count("_members")).first()
+    now = Written.of(cells, "cells")
     cap = int(total / shards * (1 + slack)) + 1
-    for _ in range(rounds if linked else 0):
-        held = state.filter("_members IS NOT NULL").groupBy("_group", "_shard").agg(F.count("*").alias("_n"))
-        # A shard that linked rows fill takes no more: its groups gather in their next best. One row a shard.
-        full = held.groupBy("_shard").agg(F.sum("_n").alias("_load")).filter(F.col("_load") >= F.lit(total / shards)).select("_shard")
-        best = held.join(F.broadcast(full), "_shard", "left_anti").groupBy("_group").agg(F.max(F.struct("_n", F.xxhash64("_group", "_shard").alias("_tie"), "_shard")).alias("_best"))
-        own = held.join(best, "_group").filter("_best._shard <> _shard").select("_group", "_shard", F.col("_best._shard").alias("_to"), (F.col("_best._n") - F.col("_n") + 1).alias("_gain")).filter("_gain > 0")
-        asks = salted_join(state, own, ["_group", "_shard"], F.col("_row"), "left", salts=8)
-        asks = asks.withColumn("_at", F.when(F.col("_to").isNotNull(), _bucket(F.xxhash64(F.lit("move"), "_row"))))
-        asks = materialise(asks, "asks")
-        # Unlinked rows make room in the last pass; linked ones that don't ask to leave take it up.
-        loads = asks.filter("_members IS NOT NULL AND _to IS NULL").groupBy("_shard").agg(F.count("*").alias("_load"))
-        queue = asks.filter("_to IS NOT NULL").groupBy("_to", "_at").agg(F.count("*").alias("_n"))
-        queue = queue.withColumn("_ahead", F.sum("_n").over(W.partitionBy("_to").orderBy("_at")))
-        free = loads.select(F.col("_shard").alias("_to"), (F.lit(cap) - F.col("_load")).alias("_free"))
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        open_to = [s for s, n in enumerate(_loads(now.rows, shards)) if n < total / shards]
+        spot = F.struct("_n", F.xxhash64("_group", "_shard").alias("_tie"), "_shard")
+        best = F.max(F.when(F.col("_shard").isin(open_to), spot)).over(W.partitionBy("_group"))
+        asks = now.rows.withColumn("_best", best)
+        goes = (F.col("_best._shard") != F.col("_shard")) & (F.col("_best._n") >= F.col("_n"))
+        asks = asks.withColumn("_to", F.when(goes, F.col("_best._shard"))).drop("_best")
+        asks = asks.withColumn("_k", F.xxhash64(F.lit("move"), "_group", "_shard"))
+        asks = Written.of(asks.withColumn("_at", _bucket(F.col("_k"))), "asks")
+        moving = asks.rows.filter("_to IS NOT NULL")
+        free = F.array(*[F.lit(max(0, cap - n)).cast("bigint") for n in _loads(asks.rows.filter("_to IS NULL"), shards)])
         # At most shards * BUCKETS rows: safe to broadcast at any input size.
-        admitted = queue.join(free, "_to", "left").filter(F.col("_ahead") <= F.coalesce("_free", F.lit(cap))).select("_to", "_at", F.lit(True).alias("_go"))
-        moved = asks.join(F.broadcast(admitted), ["_to", "_at"], "left").withColumn("_shard", F.when(F.col("_go"), F.col("_to")).otherwise(F.col("_shard")))
-        moved = moved.withColumn("_moved", F.coalesce("_go", F.lit(False))).drop("_to", "_at", "_gain", "_go")
-        moved = materialise(moved, "labels")
-        n = moved.filter("_moved").count()
-        state = moved.drop("_moved")
-        if n <= min_moves * linked:
+        queue = moving.groupBy("_to", "_at").agg(F.sum("_n").alias("_q"))
+        queue = queue.select("_to", "_at", (F.sum("_q").over(W.partitionBy("_to").orderBy("_at")) - F.col("_q")).alias("_ahead"))
+        inside = W.partitionBy("_to", "_at").orderBy("_k", "_group", "_shard").rowsBetween(W.unboundedPreceding, -1)
+        moving = moving.join(F.broadcast(queue), ["_to", "_at"])
+        left = F.get(free, F.col("_to")) - F.col("_ahead") - F.coalesce(F.sum("_n").over(inside), F.lit(0))
+        moving = moving.withColumn("_go", F.greatest(F.lit(0), F.least(F.col("_n"), left)).cast("bigint"))
+        stays = asks.rows.filter("_to IS NULL").select("_group", "_shard", "_n", F.lit(0).cast("bigint").alias("_go"))
+        parts = F.array(
+            F.struct("_shard", (F.col("_n") - F.col("_go")).alias("_n"), F.lit(0).cast("bigint").alias("_go")),
+            F.struct(F.col("_to").alias("_shard"), F.col("_go").alias("_n"), "_go"),
+        )
+        after = stays.unionByName(moving.select("_group", F.explode(parts).alias("c")).select("_group", "c._shard", "c._n", "c._go"))
+        after = after.groupBy("_group", "_shard").agg(F.sum("_n").alias("_n"), F.sum("_go").alias("_go")).filter("_n > 0")
+        now = rewritten(now, after, "cells")
+        asks.drop()
+        moved = now.rows.agg(F.sum("_go")).first()[0]
+        now = Written(now.path, now.rows.drop("_go"))
+        if not moved:
             break
-    held = state.filter("_members IS NOT NULL").groupBy("_group", "_shard").agg((F.count("*") - 1).alias("_linked"))
-    state = salted_join(state, held, ["_group", "_shard"], F.col("_row"), "left", salts=8)
-    return state.withColumn("_linked", F.coalesce("_linked", F.lit(0)))
+    return now.rows
+
+
+def placed(rows: DataFrame, cells: DataFrame, total: int, shards: int) -> DataFrame:
+    """``rows`` with ``_shard``, and ``_linked``, the neighbours beside the row: a group's rows fill
+    its cells in the order of their hash. Hot groups, of which there are fewer than
+    ``HOT_SHARE``, are met by broadcast and ranked in parts; the others by their group."""
+    lo = F.sum("_n").over(W.partitionBy("_group").orderBy("_shard")) - F.col("_n")
+    spans = cells.withColumn("_lo", lo).groupBy("_group").agg(
+        F.sum("_n").alias("_members"), F.sort_array(F.collect_list(F.struct("_lo", "_n", "_shard"))).alias("_spans")
+    )
+    spans = materialise(spans, "spans")
+    hot = spans.filter(F.col("_members") * HOT_SHARE > total)
+    key = F.xxhash64(F.lit("rank"), "_row")
+    order = [F.col("_k"), F.col("_row")]
+    rows = rows.withColumn("_k", key)
+
+    busy = rows.join(F.broadcast(hot), "_group").withColumn("_part", _bucket(F.col("_k"), PARTS))
+    # At most HOT_SHARE * PARTS rows.
+    parts = busy.groupBy("_group", "_part").agg(F.count("*").alias("_c"))
+    parts = parts.select("_group", "_part", (F.sum("_c").over(W.partitionBy("_group").orderBy("_part")) - F.col("_c")).alias("_ahead"))
+    busy = busy.join(F.broadcast(parts), ["_group", "_part"])
+    busy = busy.withColumn("_rank", F.col("_ahead") + F.row_number().over(W.partitionBy("_group", "_part").orderBy(*order)) - 1)
+
+    calm = rows.join(F.broadcast(hot.select("_group")), "_group", "left_anti").join(spans.filter(F.col("_members") * HOT_SHARE <= total), "_group", "left")
+    calm = calm.withColumn("_rank", (F.row_number().over(W.partitionBy("_group").orderBy(*order)) - 1).cast("bigint"))
+    out = busy.drop("_part", "_ahead").unionByName(calm)
+    own = F.get(F.filter("_spans", lambda s: (s["_lo"] <= F.col("_rank")) & (F.col("_rank") < s["_lo"] + s["_n"])), F.lit(0))
+    out = out.withColumn("_own", own).withColumn("_shard", F.coalesce("_own._shard", _first_shard(shards)))
+    return out.withColumn("_linked", F.coalesce(F.col("_own._n") - 1, F.lit(0))).drop("_own", "_rank", "_k", "_spans", "_members")
 
 
 def evened(rows: DataFrame, shards: int) -> DataFrame:
@@ -99,7 +158,7 @@ def evened(rows: DataFrame, shards: int) -> DataFrame:
     stays = F.col("_gap").isNull()
     rows = rows.withColumn("shard", F.when(stays, F.col("_shard")).otherwise(F.col("_gap.s")))
     rows = rows.withColumn("slot", F.when(stays, F.col("_p")).otherwise(F.col("_gap.c") + F.col("_q") - F.col("_gap.lo")).cast("bigint"))
-    return rows.drop("_k", "_part", "_ahead", "_share", "_before", "_p", "_q", "_gap", "_linked", "_members")
+    return rows.drop("_k", "_part", "_ahead", "_share", "_before", "_p", "_q", "_gap", "_linked")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, group: Column | None = None, carry: dict[str, Column] | None = None, **options) -> DataFrame:
@@ -117,4 +176,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, group: Column | None = No
     again = W.partitionBy("doc_id", "_group").orderBy(F.lit(0))
     rows = rows.withColumn("_row", F.struct("doc_id", "_group", F.row_number().over(again).alias("_again")))
     rows = rows.withColumn("_row", F.struct(F.xxhash64("_row").alias("h"), F.col("_row.doc_id").alias("d"), F.col("_row._again").alias("n")))
-    return evened(propagate(rows, shards, **options), shards).drop("_row", "_group")
+    rows = materialise(rows, "rows")
+    total = rows.count()
+    cells = propagate(cells_of(rows, shards), total, shards, **options)
+    return evened(placed(rows, cells, total, shards), shards).drop("_row", "_group")
