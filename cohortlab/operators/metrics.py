@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.functions.columns import exprs, lines, number, quoted, ratio_or_zero
 from cohortlab.operators.ordered import bits_for, exact_quantiles, running_totals
-from cohortlab.session import Written, remove
+from cohortlab.session import Written
 
 # The candidate grid for the F1 sweep and the sensitivity target.
 F1_GRID_START, F1_GRID_STOP, F1_GRID_SIZE = 0.01, 0.99, 100
@@ -58,7 +58,7 @@ class ScoreTable:
 
     def drop(self) -> None:
         """Removes the written table; nothing that reads it may run afterwards."""
-        remove(self.written.rows.sparkSession, self.written.path)
+        self.written.drop()
 
 
 def score_counts(scored: DataFrame, label: str = "y_true", score: str = "p", by: Sequence[str] = ()) -> DataFrame:

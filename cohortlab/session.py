@@ -76,12 +76,16 @@ class Written:
         df.write.parquet(path, **options)
         return cls(path, df.sparkSession.read.schema(df.schema).parquet(path))
 
+    def drop(self) -> None:
+        """Removes the folder; nothing that reads it may run afterwards."""
+        remove(self.rows.sparkSession, self.path)
+
 
 def rewritten(before: Written, df: DataFrame, name: str, **options: str) -> Written:
     """Writes ``df``, made from ``before``, and then removes the table before it: a loop
     leaves one table behind, not one a round."""
     after = Written.of(df, name, **options)
-    remove(df.sparkSession, before.path)
+    before.drop()
     return after
 
 
