@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.session import materialise
 
-__all__ = ["WORD", "ascii_lower", "materialise", "salted_join", "ship", "text_of", "without_lines", "words", "xxhash128"]
+__all__ = ["WORD", "ascii_lower", "hot_join", "materialise", "salted_join", "ship", "text_of", "without_lines", "words", "xxhash128"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,19 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """Left join with ``right``, which has one row a key, where one key may hold much of ``left``.
+
+    Keys with more than one in ``hot`` rows of ``left``, of which there are fewer than
+    ``hot``, meet their rows by broadcast; the others are shuffled by key.
+    """
+    counts = materialise(left.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    busy = F.broadcast(counts.filter(F.col("_n") * hot > total).select(key))
+    many = left.join(busy, key, "left_semi").join(F.broadcast(right.join(busy, key, "left_semi")), key, "left")
+    return many.unionByName(left.join(busy, key, "left_anti").join(right, key, "left"))
+
+
 def named(columns: list[str]) -> list[Column]:
     """Columns by their exact names, dots included."""
     return [F.col(f"`{c}`") for c in columns]

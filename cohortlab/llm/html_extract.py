@@ -1,16 +1,23 @@
 """Main text of web pages by wrapper induction.
 
-One page of each host, that with the smallest hash, is the host's reference. Every page's
-DOM tree is aligned with the reference by simple tree matching (the largest
-order-preserving match of nodes with equal tags). For each node of the reference Spark counts,
-over all pages of the host, how many pages match it and whether their texts there are all
-the same: constant nodes are template, varying slots are content.
-
-A page's text is that of its content slots, less what the markup itself names as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, comments).
-Where the markup names the article (article, main, role=main, articleBody), the text is taken
-from there, and constant nodes go only if they are a small part of it on average: pages
-of one host that are copies of each other share their article, which is no template.
+One page of each host, that with the smallest hash, is the host's reference; only its tag
+tree is kept. Every page's DOM tree is aligned with it by simple tree matching (the
+largest order-preserving match of nodes with equal tags). For each slot (a place for text
+in a node of the reference) Spark counts over the pages of the host how many different
+pages have it and whether their texts there are all the same: constant slots are
+template, varying slots are content.
+
+Each block of text is decided by the first rule that applies:
+
+1. ``template``: its slot is constant on enough different pages of the host: it goes,
+   inside an article as well as outside.
+2. ``element``: it lies in an element that is never main text (nav, footer, form, ...): it goes.
+3. ``name``: a class, id or role names it as something else (advert, comments, ...): it goes.
+4. ``outside``: the page marks its article (article, main, articleBody) and the block is not in it: it goes.
+5. ``content``: everything else stays.
+
+Pages that are copies of each other are not different: pages count by their longest block
+that rules 2 and 3 leave.
 """
 
 from __future__ import annotations
@@ -19,11 +26,12 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import materialise, salted_join, ship
+from cohortlab.llm.common import hot_join, materialise, ship
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,10 +56,10 @@ ship(__name__)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "blocks", "bad", "main", "head", "size", "shape")
+    __slots__ = ("tag", "kids", "blocks", "element", "named", "main", "head", "size", "shape")
 
-    def __init__(self, tag: str, bad: bool = False, main: bool = False, head: bool = False):
-        self.tag, self.bad, self.main, self.head = tag, bad, main, head
+    def __init__(self, tag: str, element: bool = False, named: bool = False, main: bool = False, head: bool = False):
+        self.tag, self.element, self.named, self.main, self.head = tag, element, named, main, head
         self.kids: list[Node] = []
         self.blocks: list[tuple[int, str]] = []  # (number of kids before it, text) of own text
         self.size, self.shape = 1, 0
@@ -114,7 +122,7 @@ class Tree(HTMLParser):
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
         self.flush()
-        node = Node(tag, bad or hidden, main, tag == "header" or "header" in names)
+        node = Node(tag, tag in DROPPED or hidden, bad, main, tag == "header" or "header" in names)
         self.open[-1].kids.append(node)
         self.open.append(node)
 
@@ -161,51 +169,109 @@ def reshape(root: Node, shapes: dict[tuple, int]) -> None:
 
 
 class Matcher:
-    """Simple tree matching; equal subtrees and equal ends of child lists are matched outright."""
+    """Simple tree matching; equal subtrees and equal ends of child lists are matched outright.
+
+    Pairs of shapes are worked off from an explicit stack, so trees may be of any depth.
+    """
 
     def __init__(self):
         self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def pairs(self, a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
         """The size of the largest match of two trees with equal root tags, and its pairs of kids."""
+        stack = [(a, b, False)]
+        while stack:
+            x, y, ready = stack.pop()
+            if self._outright(x, y) or (x.shape, y.shape) in self.known:
+                continue
+            if ready:
+                self.known[x.shape, y.shape] = self._children(x.kids, y.kids)
+                continue
+            stack.append((x, y, True))
+            p, q = self._middle(x.kids, y.kids)[2:]
+            stack += [(m, n, False) for m in {m.shape: m for m in p}.values() for n in {n.shape: n for n in q}.values() if m.tag == n.tag]
+        return self._found(a, b)
+
+    @staticmethod
+    def _outright(a: Node, b: Node) -> bool:
+        return a.tag != b.tag or a.shape == b.shape
+
+    def _found(self, a: Node, b: Node) -> tuple[int, list[tuple[int, int]]]:
         if a.tag != b.tag:
             return 0, []
         if a.shape == b.shape:
             return a.size, [(i, i) for i in range(len(a.kids))]
-        key = (a.shape, b.shape)
-        if key not in self.known:
-            self.known[key] = self._children(a.kids, b.kids)
-        return self.known[key]
+        return self.known[a.shape, b.shape]
 
-    def _children(self, x: list[Node], y: list[Node]) -> tuple[int, list[tuple[int, int]]]:
+    def _weight(self, a: Node, b: Node) -> int:
+        return 0 if a.tag != b.tag else a.size if a.shape == b.shape else self.known[a.shape, b.shape][0]
+
+    @staticmethod
+    def _middle(x: list[Node], y: list[Node]) -> tuple[int, int, list[Node], list[Node]]:
+        """How many kids agree at the start and at the end, and those between."""
         head = 0
         while head < min(len(x), len(y)) and x[head].shape == y[head].shape:
             head += 1
         tail = 0
         while tail < min(len(x), len(y)) - head and x[-1 - tail].shape == y[-1 - tail].shape:
             tail += 1
+        return head, tail, x[head : len(x) - tail], y[head : len(y) - tail]
+
+    def _children(self, x: list[Node], y: list[Node]) -> tuple[int, list[tuple[int, int]]]:
+        head, tail, p, q = self._middle(x, y)
         out = [(i, i) for i in range(head)]
         total = 1 + sum(n.size for n in x[:head]) + sum(n.size for n in x[len(x) - tail :])
-        p, q = x[head : len(x) - tail], y[head : len(y) - tail]
         if p and q:
-            best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+            # A row of weights for each shape of p; a step of the table is three array operations.
+            weights: dict[int, np.ndarray] = {}
+            best = np.zeros((len(p) + 1, len(q) + 1), np.int32)
             for i, m in enumerate(p):
-                for j, n in enumerate(q):
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + self.pairs(m, n)[0])
+                if m.shape not in weights:
+                    of = {n.shape: self._weight(m, n) for n in q}
+                    weights[m.shape] = np.array([of[n.shape] for n in q], np.int32)
+                np.maximum.accumulate(np.maximum(best[i, 1:], best[i, :-1] + weights[m.shape]), out=best[i + 1, 1:])
             i, j, middle = len(p), len(q), []
             while i and j:
-                if best[i][j] == best[i - 1][j]:
+                if best[i, j] == best[i - 1, j]:
                     i -= 1
-                elif best[i][j] == best[i][j - 1]:
+                elif best[i, j] == best[i, j - 1]:
                     j -= 1
                 else:
                     i, j = i - 1, j - 1
                     middle.append((head + i, head + j))
             out += reversed(middle)
-            total += best[-1][-1]
+            total += int(best[-1, -1])
         return total, out + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
 
 
+def tree_text(root: Node) -> str:
+    """A tree's tags in page order, ")" behind the kids of each."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        out.append(node.tag)
+        stack.append(")")
+        stack += reversed(node.kids)
+    return " ".join(out)
+
+
+def tree_of(text: str) -> Node:
+    """The tree that ``tree_text`` wrote; an empty text is a page without nodes."""
+    top = Node("")
+    path = [top]
+    for word in text.split():
+        if word == ")":
+            path.pop()
+        else:
+            node = Node(word)
+            path[-1].kids.append(node)
+            path.append(node)
+    return top.kids[0] if top.kids else Node("#root")
+
+
 def aligned(page: Node, reference: Node) -> dict[int, int]:
     """For the nodes of ``page`` by id(): the number of the matching node of ``reference``."""
     shapes: dict[tuple, int] = {}
@@ -225,96 +291,141 @@ def aligned(page: Node, reference: Node) -> dict[int, int]:
     return out
 
 
-def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, bool, bool, str]]:
-    """In page order, (slot or -1, in a named article, named as something else, text)."""
-    out: list[tuple[int, bool, bool, str]] = []
-    stack: list = [(page, False, False)]
+def blocks(page: Node, slots: dict[int, int]) -> list[tuple[int, bool, bool, bool, str]]:
+    """In page order, (slot or -1, in a marked article, in a dropped element, named as something else, text).
+
+    A slot is a node of the reference and the number of the text within it.
+    """
+    out: list[tuple[int, bool, bool, bool, str]] = []
+    stack: list = [(page, False, False, False)]
     while stack:
         item = stack.pop()
-        if len(item) == 4:
+        if len(item) == 5:
             out.append(item)
             continue
-        node, main, bad = item
-        main, bad = main or node.main, bad or node.bad or (node.head and not main)
+        node, main, element, named = item
+        main = main or node.main
+        element, named = element or node.element or (node.head and not main), named or node.named
         slot, own = slots.get(id(node), -1), []
         at = 0
         for n, kid in enumerate([*node.kids, None]):
             while at < len(node.blocks) and node.blocks[at][0] <= n:
-                own.append((slot * 16 + min(at, 15) if slot >= 0 else -1, main, bad, node.blocks[at][1]))
+                own.append(((slot << 32) + at if slot >= 0 else -1, main, element, named, node.blocks[at][1]))
                 at += 1
             if kid is not None:
-                own.append((kid, main, bad))
+                own.append((kid, main, element, named))
         stack += reversed(own)
     return out
 
 
-_BLOCKS = "array<struct<slot: int, main: boolean, bad: boolean, text: string>>"
+_BLOCKS = "array<struct<slot: bigint, main: boolean, element: boolean, named: boolean, text: string>>"
+_KIND = pa.list_(pa.struct([("slot", pa.int64()), ("main", pa.bool_()), ("element", pa.bool_()), ("named", pa.bool_()), ("text", pa.string())]))
+#: Tag trees, or constant slots, up to so many bytes or rows in all are broadcast; more are joined.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 1 << 20
+#: A longer page becomes a host's reference only if all its pages are.
+LONG_PAGE = 1 << 20
+
+
+def references(rows: DataFrame) -> DataFrame:
+    """(_host, _tree): the tag tree of the page with the smallest hash of each host, long pages last."""
+    filled = rows.filter(F.length("html") > 0)
+    order = F.struct(F.length("html") > LONG_PAGE, "_order")
+    chosen = materialise(filled.groupBy("_host").agg(F.min(order).alias("_first")), "first-pages")
+    if chosen.count() <= BROADCAST_ROWS:
+        found = filled.join(F.broadcast(chosen), (filled["_host"] == chosen["_host"]) & (order == chosen["_first"])).select(filled["_host"], "html")
+        found = found.groupBy("_host").agg(F.min("html").alias("html"))
+    else:
+        found = filled.groupBy("_host").agg(F.min_by("html", order).alias("html"))
+
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tree_text(parse(h.as_py())) for h in batch.column(1)], pa.string())], ["_host", "_tree"])
+
+    return materialise(found.mapInArrow(trees, "_host string, _tree string"), "trees")
 
 
 def aligned_blocks(pages: DataFrame) -> DataFrame:
-    """page_id, url, _host and ``blocks`` of every page, aligned with its host's reference."""
+    """page_id, url, _host, ``blocks`` of every page, aligned with its host's reference, and
+    whether the page marks an article. (A column of its own: worked out within the rule of
+    each block it would make long pages quadratic.)"""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("_host"))
     rows = rows.withColumn("_order", F.xxhash64("page_id", "html"))
-    filled = rows.filter(F.length("html") > 0)
-    chosen = filled.groupBy("_host").agg(F.min("_order").alias("_order"))
-    references = filled.join(chosen, ["_host", "_order"]).groupBy("_host").agg(F.min("html").alias("_reference"))
-    both = salted_join(rows, references, ["_host"], F.col("_order"), "left").select("page_id", "url", "_host", "html", F.coalesce("_reference", F.lit("")).alias("_reference"))
+    trees = references(rows)
+    small = (trees.agg(F.sum(F.octet_length("_host") + F.octet_length("_tree"))).first()[0] or 0) <= BROADCAST_BYTES
+    if small:
+        shared = pages.sparkSession.sparkContext.broadcast({r["_host"]: r["_tree"] for r in trees.collect()})
+        both = rows.select("page_id", "url", "_host", "html", F.lit(None).cast("string").alias("_tree"))
+    else:
+        shared = None
+        both = hot_join(rows, trees, "_host").select("page_id", "url", "_host", "html", "_tree")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Node] = {}
-        kind = pa.list_(pa.struct([("slot", pa.int32()), ("main", pa.bool_()), ("bad", pa.bool_()), ("text", pa.string())]))
+        given = shared.value if shared else {}
         for batch in batches:
-            out = []
-            for html, reference in zip(batch.column(3), batch.column(4)):
-                of_host = reference.as_py()
-                if of_host not in known:
+            out, marked = [], []
+            for own, html, tree in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if own not in known:
                     if len(known) > 64:
                         known.clear()
-                    known[of_host] = parse(of_host)
-                page = parse(html.as_py())
-                found = blocks(page, aligned(page, known[of_host]))
-                out.append([dict(zip(("slot", "main", "bad", "text"), b)) for b in found])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(out, kind)], ["page_id", "url", "_host", "blocks"])
+                    known[own] = tree_of((given.get(own) if shared else tree) or "")
+                page = parse(html)
+                found = blocks(page, aligned(page, known[own]))
+                out.append([dict(zip(("slot", "main", "element", "named", "text"), b)) for b in found])
+                marked.append(any(main and not element and not named for _, main, element, named, _ in found))
+            arrays = [*[batch.column(i) for i in range(3)], pa.array(out, _KIND), pa.array(marked, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "_host", "blocks", "marked"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return both.mapInArrow(each, f"page_id {kind}, url string, _host string, blocks {_BLOCKS}")
+    return both.mapInArrow(each, f"page_id {kind}, url string, _host string, blocks {_BLOCKS}, marked boolean")
 
 
 def templates(found: DataFrame, support: int = 3, share: float = 0.5) -> DataFrame:
     """(_host, _constant): the slots whose text is the same on all pages that have them.
 
-    A slot needs ``support`` pages with different content, and ``share`` of the host's.
-    Pages with the same texts count once, by a hash of all their blocks.
+    A slot needs ``support`` different pages, and ``share`` of the host's different pages.
+    Pages count by their longest block outside dropped and named parts, so that copies, and
+    copies with changes elsewhere, count once. Only hashes are shuffled.
     """
-    page = F.xxhash64(F.transform("blocks", lambda b: b["text"]))
-    distinct = found.select("_host", page.alias("_page"), F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("h")))))
-                            .alias("b")).filter("b.slot >= 0").select("_host", "_page", "b.slot", "b.h").distinct()
-    pages = distinct.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_of"))
-    slots = distinct.groupBy("_host", "slot").agg(F.count("*").alias("_n"), F.min("h").alias("_lo"), F.max("h").alias("_hi")).filter(f"_lo = _hi AND _n >= {support}")
-    slots = slots.join(pages, "_host").filter(F.col("_n") >= F.col("_of") * share)
+    own = F.filter("blocks", lambda b: ~b["element"] & ~b["named"])
+    longest = F.array_max(F.transform(own, lambda b: F.struct(F.length(b["text"]), F.xxhash64(b["text"]))))
+    slots = F.transform(F.filter("blocks", lambda b: b["slot"] >= 0), lambda b: F.struct(b["slot"].alias("slot"), F.xxhash64(b["text"]).alias("h")))
+    # The page's own hash is taken below the explode: above it, every slot would take it again.
+    hashed = found.select("_host", F.xxhash64(longest).alias("_page"), slots.alias("_slots"))
+    one = hashed.select("_host", "_page", F.explode("_slots").alias("b")).select("_host", "_page", "b.slot", "b.h")
+    # First the pages of one content, then the slots: a hot host is dealt by page and by slot.
+    distinct = one.groupBy("_host", "slot", "_page").agg(F.min("h").alias("_lo"), F.max("h").alias("_hi"))
+    of = hashed.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_of"))
+    constant = distinct.groupBy("_host", "slot").agg(F.count("*").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    constant = constant.filter((F.col("_lo") == F.col("_hi")) & (F.col("_n") >= support)).join(of, "_host").filter(F.col("_n") >= F.col("_of") * share)
     # At most as many slots a host as its one reference page has.
-    return slots.groupBy("_host").agg(F.collect_set("slot").alias("_constant"))
-
-
-def main_texts(pages: DataFrame, support: int = 3, template_share: float = 0.5) -> DataFrame:
-    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
-
-    White space inside a block is one space; blocks are joined by an empty line. A null or
-    empty page has an empty text. A null url, or one without a host, belongs to the host
-    "". Rows that repeat are rows of their own; an empty table gives no rows; other
-    columns are not read.
+    return constant.groupBy("_host").agg(F.collect_set("slot").alias("_constant"))
+
+
+def judged_blocks(pages: DataFrame, support: int = 3, share: float = 0.5) -> DataFrame:
+    """page_id, url and ``blocks`` with the ``rule`` that decided each; see the module's text."""
+    found = materialise(aligned_blocks(pages), "blocks", compression="zstd")
+    constant = materialise(templates(found, support, share), "templates")
+    small = (constant.agg(F.sum(F.size("_constant"))).first()[0] or 0) <= BROADCAST_ROWS
+    found = found.join(F.broadcast(constant), "_host", "left") if small else hot_join(found, constant, "_host")
+    rule = lambda b: (
+        F.when(F.coalesce(F.array_contains("_constant", b["slot"]), F.lit(False)), "template")
+        .when(b["element"], "element").when(b["named"], "name").when(F.col("marked") & ~b["main"], "outside").otherwise("content")
+    )
+    return found.select("page_id", "url", F.transform("blocks", lambda b: F.struct(rule(b).alias("rule"), b["text"].alias("text"))).alias("blocks"))
+
+
+def main_texts(pages: DataFrame, support: int = 3, share: float = 0.5) -> DataFrame:
+    """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars, n_template.
+
+    White space inside a block is one space; blocks are joined by an empty line;
+    ``n_template`` counts the blocks that alignment took out. A null or empty page has an
+    empty text. A null url, or one without a host, belongs to the host "". Pages may be of
+    any length and depth. Rows that repeat are rows of their own; an empty table gives no
+    rows; other columns are not read.
     """
-    found = materialise(aligned_blocks(pages), "blocks")
-    constant = templates(found, support)
-    found = salted_join(found, constant, ["_host"], F.col("page_id"), "left")
-    found = found.withColumn("_constant", F.coalesce("_constant", F.array().cast("array<int>")))
-    found = found.withColumn("_named", F.exists("blocks", lambda b: b["main"] & ~b["bad"]))
-    found = found.withColumn("_in", F.filter("blocks", lambda b: ~b["bad"] & (b["main"] | ~F.col("_named"))))
-    size = lambda column: F.aggregate(column, F.lit(0), lambda a, b: a + F.length(b["text"]))
-    kept = F.filter("_in", lambda b: ~F.array_contains("_constant", b["slot"]))
-    found = found.withColumn("_vary", kept)
-    # A named article that is mostly constant is a copy, not a template.
-    own = ~F.col("_named") | (size("_vary") >= template_share * size("_in"))
-    text = F.array_join(F.transform(F.when(own, F.col("_vary")).otherwise(F.col("_in")), lambda b: b["text"]), "\n\n")
-    return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    found = judged_blocks(pages, support, share)
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["rule"] == "content"), lambda b: b["text"]), "\n\n")
+    n = F.size(F.filter("blocks", lambda b: b["rule"] == "template")).cast("bigint")
+    return found.select("page_id", "url", text.alias("text"), n.alias("n_template")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_template")
