@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ __all__ = ["WORD", "ascii_lower", "hot_join", "materialise", "salted_join", "shi
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: The columns of the table ``documents``.
+DOCUMENT = frozenset(["doc_id", "text", "lang", "source", "n_chars"])
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -66,6 +70,22 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
+def carries_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of ``docs`` that give all its columns back: other columns than those of
+    ``documents`` travel under numbered names, so none can clash with one used inside."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        if set(docs.columns) <= DOCUMENT:
+            return stage(docs, *args, **kwargs)
+        inside = [c if c in DOCUMENT else f"other {i}" for i, c in enumerate(docs.columns)]
+        out = stage(docs.toDF(*inside), *args, **kwargs)
+        back = dict(zip(inside, docs.columns))
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return run
+
+
 def without_lines(table: DataFrame, gone: str, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with the lines whose numbers are in ``gone`` cut from text.
 

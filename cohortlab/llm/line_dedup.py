@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import materialise, named, salted_join, text_of, without_lines, words, xxhash128
+from cohortlab.llm.common import carries_columns, materialise, named, salted_join, text_of, without_lines, words, xxhash128
 
 MIN_WORDS = 50
 
@@ -74,6 +74,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("doc_id", "_key", F.explode(F.sequence("_s", "last")).alias("_at")).groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("_at")).alias("gone"))
 
 
+@carries_columns
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``docs`` with later repeated runs cut from ``text``, and
     ``removed_lines``, the sorted numbers (from 0) of the lines that went.

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import materialise, text_of, words
+from cohortlab.llm.common import carries_columns, materialise, text_of, words
 
 #: Order buckets within a source; each is sorted in a task of its own.
 BUCKETS = 4096
@@ -105,6 +105,7 @@ def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     )
 
 
+@carries_columns
 def curriculum(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
     """The mix as a training set: all columns of ``docs``, a row for each copy that the mix
     takes, range-sorted by training position, then doc_id and copy. A document of

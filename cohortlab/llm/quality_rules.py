@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import SPACES, ascii_lower, materialise, salted_join, text_of, without_lines, words
+from cohortlab.llm.common import SPACES, ascii_lower, carries_columns, materialise, salted_join, text_of, without_lines, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -116,6 +116,7 @@ def judged(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     return out.withColumn("kept", ~failed & (100.0 * left >= limits.left_percent * F.col("n_words"))).drop("_lost", "_id")
 
 
+@carries_columns
 def quality_rules(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The documents that pass, all columns, boilerplate lines removed from their texts.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import materialise, salted_join, ship, text_of
+from cohortlab.llm.common import carries_columns, materialise, salted_join, ship, text_of
 from cohortlab.llm.graph import components
 
 PARTS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits)
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
     return out.select(id_col, hex_bits.alias("fingerprint"), F.when(F.col("_known"), F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
 
 
+@carries_columns
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, one for each component: that with the smallest id.
 

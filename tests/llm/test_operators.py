@@ -240,3 +240,18 @@ def test_empty_tables(spark, none):
         main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")),
     ]
     assert [t.count() for t in tables] == [0] * len(tables)
+
+
+@pytest.mark.parametrize("stage", [quality_rules, line_dedup, one_of_each, curriculum])
+def test_stages_keep_columns_named_like_their_own(spark, stage):
+    """Whatever other columns are called, they come back with their values."""
+    names = ["__id", "__nth", "__copy", "__lines", "__first", "__gone", "__bad", "_key", "_salt", "_host", "size", "a.b", "other 5"]
+    rows = [(i, f"{LONG} {i}", "en", "a", None, *[f"{n} {i}" for n in names]) for i in range(6)]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names)
+    table = spark.createDataFrame(rows, kinds)
+    out = stage(table)
+    assert [c for c in out.columns if c in table.columns] == table.columns
+    got = out.collect()
+    assert got
+    for r in got:
+        assert [r[n] for n in names] == [f"{n} {r.doc_id}" for n in names]
