@@ -223,17 +223,18 @@ def class_rank(
     they are the buckets: a class of any size spreads over 16**digits tasks.
     Adds ``class_rank`` and ``class_size``.
     """
-    hashed = df.selectExpr("*", f"md5(concat({quoted(str(seed))}, ':', cast({key} AS string))) AS _hash").selectExpr(
-        "*", f"substring(_hash, 1, {digits}) AS _slot"
-    )
-    keys = [label, "_slot"]
-    before = f"(PARTITION BY {label} ORDER BY _slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    hashed = df.selectExpr(
+        "*", f"md5(concat({quoted(str(seed))}, ':', coalesce(cast({key} AS string), ''))) AS _hash", f"struct({label}) AS _own"
+    ).selectExpr("*", f"substring(_hash, 1, {digits}) AS _slot")
+    # As a struct, a NULL label is a class like any other: no row is lost by the join.
+    keys = ["_own", "_slot"]
+    before = "(PARTITION BY _own ORDER BY _slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = hashed.groupBy(*keys).agg(F.expr("count(*) AS _in")).selectExpr(
         *keys,
         f"coalesce(sum(_in) OVER {before}, 0) AS _before",
-        f"sum(_in) OVER (PARTITION BY {label}) AS class_size",
+        "sum(_in) OVER (PARTITION BY _own) AS class_size",
     )
-    inside = f"(PARTITION BY {label}, _slot ORDER BY _hash, {key})"
+    inside = f"(PARTITION BY _own, _slot ORDER BY _hash, {key})"
     return hashed.join(offsets, keys).selectExpr(
         *df.columns,
         f"cast(_before + row_number() OVER {inside} AS bigint) AS class_rank",

@@ -38,6 +38,15 @@ def test_split_shares_and_nesting(spark):
     assert not any(r.is_validation and r.split == "test" for r in rows)
 
 
+def test_splits_keep_rows_without_a_label_or_key(spark):
+    df = spark.range(40).selectExpr("CASE WHEN id = 7 THEN NULL ELSE id END AS id", "CASE WHEN id % 4 = 0 THEN NULL ELSE cast(id % 2 AS int) END AS y")
+    rows = split.study_split(df, "y", "id").collect()
+    assert len(rows) == 40 and sum(r.y is None for r in rows) == 10
+    for y in (None, 0, 1):
+        n = sum(r.y == y for r in rows)
+        assert sum(r.y == y and r.split == "test" for r in rows) == math.floor(0.2 * n + 0.5)
+
+
 def test_scaling_uses_true_median_and_population_spread(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, None), (3.0, None), (4.0, None), (None, None)], "a double, e double")
     s = prepare.fit_scaling(df, ["a", "e"])
