@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.session import materialise
 
-__all__ = ["WORD", "ascii_lower", "hot_join", "materialise", "salted_join", "ship", "text_of", "without_lines", "words", "xxhash128"]
+__all__ = ["WORD", "ascii_lower", "counted_join", "hot_join", "materialise", "salted_join", "ship", "text_of", "without_lines", "words", "xxhash128"]
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +52,25 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def counted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, total: int, share: int = 1000) -> DataFrame:
+    """Inner join where one key may hold a third of ``left``, salted for such keys only.
+
+    ``right`` is a written table with one row a key and ``_rows``, the number of rows of
+    ``left`` that hold the key; ``total`` is the number of rows of ``left``. A key with more
+    than one in ``share`` of them, of which there are fewer than ``share``, is dealt over as
+    many tasks as that share goes into it. Its rows learn of it by broadcast; ``right`` is
+    repeated for these keys alone. ``by`` deals the rows of one key evenly.
+    """
+    part = max(1, total // share)
+    salts = F.ceil(F.col("_rows") / part).cast("int")
+    hot = right.filter(F.col("_rows") > part).select(*keys, salts.alias("_salts"))
+    dealt = F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_salts"))).cast("int")
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", dealt).drop("_salts")
+    last = F.when(F.col("_rows") > part, salts - 1).otherwise(0)
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_rows")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, hot: int = 1000) -> DataFrame:
     """Left join with ``right``, which has one row a key, where one key may hold much of ``left``.
 

@@ -79,14 +79,12 @@ WITH d AS (
   SELECT doc_id, source, line, len(regexp_extract_all(line, '{WORD}')) AS n,
     {LOWER.format("array_to_string(regexp_extract_all(line, '" + WORD + "'), ' ')")} AS norm
   FROM l WHERE regexp_matches(line, '{WORD}')
-), seen AS (
-  SELECT doc_id, any_value(source) AS source, max(struct_pack(n := length(line), x := line)) AS longest FROM f GROUP BY doc_id
 ), hosts AS (
-  SELECT source, count(DISTINCT longest) AS n_of FROM (SELECT d.source, longest FROM d LEFT JOIN seen USING (doc_id)) GROUP BY source
+  SELECT source, count(DISTINCT t) AS n_of FROM d GROUP BY source
 ), bad AS (
-  SELECT f.source, f.norm FROM f JOIN seen USING (doc_id) JOIN hosts h ON h.source = f.source
-  WHERE f.n <= 32 GROUP BY f.source, f.norm, h.n_of
-  HAVING count(DISTINCT longest) > 10 AND count(DISTINCT longest) * 100.0 > h.n_of * 0.2
+  SELECT f.source, f.norm FROM f JOIN d USING (doc_id) JOIN hosts h ON h.source = f.source
+  GROUP BY f.source, f.norm, h.n_of
+  HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) * 100.0 > h.n_of * 0.2
 ), lost AS (
   SELECT f.doc_id, sum(f.n) AS lost FROM f JOIN bad USING (source, norm) GROUP BY f.doc_id
 ), dup AS (

@@ -2,12 +2,11 @@
 
 Lines are normalised (words lower-cased A-Z, joined by one space) and hashed. For each
 host (the ``source`` column) and line, the distinct documents that hold it are counted.
-A short line that more documents hold than the limits allow is boilerplate: it is
-removed, and a document that loses too many of its words with such lines is rejected.
+A line that more documents hold than the limits allow is boilerplate, however long: it
+is removed, and a document that loses too many of its words with such lines is rejected.
 
-Documents count as distinct by their longest line, so that copies of one text, which
-share all their lines, count once and do not turn each other's lines into boilerplate.
-Long lines are passages rather than boilerplate and are left to line dedup.
+Documents with the same text count once (by a hash of the whole text), so that copies,
+which share all their lines, do not turn each other's lines into boilerplate.
 """
 
 from __future__ import annotations
@@ -17,18 +16,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import SPACES, ascii_lower, carries_columns, materialise, salted_join, text_of, without_lines, words
+from cohortlab.llm.common import SPACES, ascii_lower, carries_columns, counted_join, materialise, text_of, without_lines, words
 
 SYMBOLS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is boilerplate when it has at most ``line_words`` words and more than
-    ``docs`` distinct documents of its host, and more than ``percent`` % of them, hold it.
-    A document is depleted when less than ``left_percent`` % of its words are left."""
+    """A line is boilerplate when more than ``docs`` distinct documents of its host, and
+    more than ``percent`` % of them, hold it. A document is depleted when less than
+    ``left_percent`` % of its words are left."""
 
-    line_words: int = 32
     docs: int = 10
     percent: float = 0.2
     left_percent: float = 50.0
@@ -71,7 +69,6 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get(F.col("_w"), i), F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
     t = repeated_words(windows, t, "n_repeat_words")
-    longest = F.array_max(F.transform("_l", lambda x: F.struct(F.length(x["x"]).alias("n"), x["x"].alias("x"))))["x"]
     raw = F.transform("_l", lambda x: x["x"])
     return t.select(
         "doc_id", "source", F.xxhash64("_t").alias("_key"),
@@ -80,18 +77,18 @@ def _measured(docs: DataFrame) -> DataFrame:
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct(raw))).cast("bigint").alias("n_dup_lines"),
         "n_repeat_words",
-        F.xxhash64(longest).alias("_seen"),
         F.transform("_lw", lambda x: F.struct(x["i"].alias("i"), _line_hash(x["w"]).alias("h"), F.size(x["w"]).alias("n"))).alias("_lines"),
     )
 
 
 def boilerplate(measured: DataFrame, limits: Limits) -> DataFrame:
-    """(_host, h) of the lines above the limits; _host holds the source, null included."""
-    lines = measured.select(F.struct("source").alias("_host"), "_seen", F.explode("_lines").alias("x"))
-    lines = lines.filter(F.col("x.n") <= limits.line_words).select("_host", "_seen", "x.h")
-    held = lines.distinct().groupBy("_host", "h").agg(F.count("*").alias("_docs")).filter(F.col("_docs") > limits.docs)
-    hosts = measured.select(F.struct("source").alias("_host"), "_seen").distinct().groupBy("_host").agg(F.count("*").alias("_of"))
-    return held.join(hosts, "_host").filter(F.col("_docs") * 100.0 > F.col("_of") * limits.percent).select("_host", "h")
+    """(_host, h, _rows) of the lines above the limits; _host holds the source, null
+    included, and _rows counts the lines, those of copies and repeats too."""
+    lines = measured.select(F.struct("source").alias("_host"), "_key", F.explode("_lines.h").alias("h"))
+    held = lines.groupBy("_host", "h", "_key").agg(F.count("*").alias("_n"))
+    held = held.groupBy("_host", "h").agg(F.count("*").alias("_docs"), F.sum("_n").alias("_rows")).filter(F.col("_docs") > limits.docs)
+    hosts = measured.select(F.struct("source").alias("_host"), "_key").distinct().groupBy("_host").agg(F.count("*").alias("_of"))
+    return held.join(hosts, "_host").filter(F.col("_docs") * 100.0 > F.col("_of") * limits.percent).select("_host", "h", "_rows")
 
 
 def judged(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -105,11 +102,12 @@ def judged(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
     m = materialise(_measured(docs), "quality").withColumn("_id", F.struct("doc_id", "source", "_key"))
     lines = m.select("_id", F.struct("source").alias("_host"), F.explode("_lines").alias("x")).select("_id", "_host", "x.*")
-    hit = salted_join(lines, boilerplate(m, limits), ["_host", "h"], F.col("_id"))
+    total = m.agg(F.sum(F.size("_lines"))).first()[0] or 0
+    hit = counted_join(lines, materialise(boilerplate(m, limits), "boilerplate"), ["_host", "h"], F.col("_id"), total)
     # A row that is repeated has each of its lines as often: one of each counts.
     lost = hit.groupBy("_id").agg(F.collect_set(F.struct("i", "n")).alias("_hit"))
     lost = lost.select("_id", F.aggregate("_hit", F.lit(0), lambda a, x: a + x["n"]).alias("_lost"), F.transform("_hit", lambda x: x["i"]).alias("_bad"))
-    out = m.drop("_lines", "_seen").join(lost, "_id", "left")
+    out = m.drop("_lines").join(lost, "_id", "left")
     left = F.col("n_words") - F.coalesce("_lost", F.lit(0))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     out = out.withColumn("left_words", left).withColumn("base_failed", failed)

@@ -10,7 +10,9 @@ import public_tokenizers
 import pytest
 import xxhash
 from compare import differences, duck
+from pyspark.sql import functions as F
 
+from cohortlab.llm.common import counted_join
 from cohortlab.llm.exact_dedup import exact_dedup
 from cohortlab.llm.graph import components
 from cohortlab.llm.html_extract import main_texts
@@ -101,6 +103,19 @@ def test_quality_rules(spark, odd):
     assert set(out) == {*range(20), *range(200, 230)}
     assert out[3] == body(3) and out[200] == rows[-1][1]
     assert quality_rules(table).columns == table.columns
+    # No line is too long to count, and documents count once each, whatever lines they share.
+    notice = " ".join(f"term{i}" for i in range(90))
+    shared = docs(spark, [(k, f"{notice}\n{body(k)}\n{body(k + 100)}", "h") for k in range(12)])
+    assert {r.doc_id: r.text for r in quality_rules(shared).collect()} == {k: f"{body(k)}\n{body(k + 100)}" for k in range(12)}
+
+
+def test_join_of_counted_keys(spark):
+    left = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id")
+    right = left.groupBy("k").count().withColumnRenamed("count", "_rows").filter("k < 2000").withColumn("v", F.col("k") * 2)
+    for share in (1, 10, 1000, 100_000):
+        out = counted_join(left, right, ["k"], F.col("id"), 3000, share)
+        rows = [tuple(r) for r in out.select("k", "id", "v").collect()]
+        assert sorted(rows) == sorted((k, i, 2 * k) for i in range(3000) for k in [-1 if i % 3 == 0 else i] if k < 2000)
 
 
 def test_mixing(spark, odd):
