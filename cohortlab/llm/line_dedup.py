@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import carries_columns, materialise, named, salted_join, text_of, without_lines, words, xxhash128
+from cohortlab.llm.common import carries_columns, counted_join, materialise, named, text_of, without_lines, words, xxhash128
 
 MIN_WORDS = 50
 
@@ -61,11 +61,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _key, gone): the sorted numbers of the lines that later runs repeat."""
     w = materialise(windows(docs, min_words), "windows")
     at = F.struct("doc_id", "_key", "_at")
-    prints = w.groupBy("_print").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi")).filter("_lo < _hi").select("_print")
-    again = salted_join(w, prints, ["_print"], F.struct("doc_id", "first"), salts=8)
+    prints = w.groupBy("_print").agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count("*").alias("_rows"))
+    prints = materialise(prints.filter("_lo < _hi").select("_print", "_rows"), "prints")
+    again = counted_join(w, prints, ["_print"], F.struct("doc_id", "first"), w.count())
     place = F.struct("doc_id", "_key", "first", "last")
-    firsts = again.groupBy("_print", "_a", "_b").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    later = salted_join(again, firsts, ["_print", "_a", "_b"], F.struct("doc_id", "first"), salts=8)
+    firsts = again.groupBy("_print", "_a", "_b").agg(F.min(place).alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
+    firsts = materialise(firsts, "first-windows")
+    later = counted_join(w, firsts, ["_print", "_a", "_b"], F.struct("doc_id", "first"), w.count())
     first = F.col("_first")
     here = first["doc_id"].eqNullSafe(F.col("doc_id")) & (first["_key"] == F.col("_key"))
     # A run that overlaps its own first occurrence repeats it only beyond that one's end.
