@@ -4,31 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from cohortlab.operators.ordered import class_rank
+from cohortlab.operators.ordered import class_rank, first_share
 
 SEED = 42
 TEST_SHARE = 0.2
 FOLDS = 5
 
 
-def _in_share(share: float) -> str:
-    return f"class_rank <= floor({float(share)!r}D * class_size + 0.5D)"
-
-
 def train_test_split(
     df: DataFrame, label: str, key: str, share: float = TEST_SHARE, seed: int | str = SEED
 ) -> DataFrame:
     """Adds ``split``: the first ``share`` of each class in seeded order is 'test'."""
-    ranked = class_rank(df, label, key, seed)
-    part = f"CASE WHEN {_in_share(share)} THEN 'test' ELSE 'train' END AS split"
-    return ranked.selectExpr(*df.columns, part)
+    cut = first_share(df, label, key, seed, share, "_in_share")
+    return cut.selectExpr(*df.columns, "CASE WHEN _in_share THEN 'test' ELSE 'train' END AS split")
 
 
 def nested_validation(df: DataFrame, label: str, key: str, share: float = TEST_SHARE, seed: int | str = SEED) -> DataFrame:
     """Adds ``is_validation``: a stratified share of the train rows only."""
-    classed = df.selectExpr("*", f"concat(split, '/', cast({label} AS string)) AS _class")
-    ranked = class_rank(classed, "_class", key, f"{seed}/validation")
-    return ranked.selectExpr(*df.columns, f"split = 'train' AND {_in_share(share)} AS is_validation")
+    return first_share(df, label, key, f"{seed}/validation", share, "is_validation", among="split = 'train'")
 
 
 def train_folds(df: DataFrame, label: str, key: str, folds: int = FOLDS, seed: int | str = SEED) -> DataFrame:

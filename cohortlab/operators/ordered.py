@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlab.functions.columns import exprs, lines, quoted
+from cohortlab.session import materialise
 
 BUCKET = "_bucket"
 
@@ -214,6 +215,52 @@ def quantile_cuts(df: DataFrame, columns: Sequence[str], cuts: int) -> dict[str,
     return {c: at.get(c, []) for c in columns}
 
 
+def _hashed(df: DataFrame, label: str, key: str, seed: int | str, digits: int) -> DataFrame:
+    """Adds the class (_own), the md5 of ``seed:key`` (_hash) and its first hex digits (_slot).
+
+    As a struct, a NULL label is a class like any other: no row is lost by a join.
+    """
+    return df.selectExpr(
+        "*", f"md5(concat({quoted(str(seed))}, ':', coalesce(cast({key} AS string), ''))) AS _hash", f"struct({label}) AS _own"
+    ).selectExpr("*", f"substring(_hash, 1, {digits}) AS _slot")
+
+
+def class_cut(df: DataFrame, label: str, key: str, seed: int | str, share: float, digits: int = 3) -> DataFrame:
+    """One row per class: ``_cut``, the hash and key of the last row of its first ``share``.
+
+    The order is that of ``class_rank``. Counts of the slots tell in which slot the
+    cut lies; the rows of that slot alone are shuffled and sorted. A class whose share
+    rounds to no row has no cut.
+    """
+    hashed = _hashed(df, label, key, seed, digits).selectExpr("_own", "_slot", "_hash", f"{key} AS _key")
+    edge = hashed.groupBy("_own", "_slot").agg(F.expr("count(*) AS _in")).selectExpr(
+        "*",
+        "sum(_in) OVER (PARTITION BY _own ORDER BY _slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
+        f"floor({float(share)!r}D * sum(_in) OVER (PARTITION BY _own) + 0.5D) AS _take",
+    ).where("_take > _upto - _in AND _take <= _upto").selectExpr("_own", "_slot", "_take - _upto + _in AS _rest")
+    inside = "(PARTITION BY _own, _slot ORDER BY _hash, _key)"
+    placed = hashed.join(F.broadcast(edge), ["_own", "_slot"]).selectExpr(
+        "_own", "_rest", "named_struct('_hash', _hash, '_key', _key) AS _cut", f"row_number() OVER {inside} AS _nth"
+    )
+    return placed.where("_nth = _rest").select("_own", "_cut")
+
+
+def first_share(
+    df: DataFrame, label: str, key: str, seed: int | str, share: float, name: str, among: str = "true", digits: int = 3
+) -> DataFrame:
+    """Adds ``name``: whether a row is in the first ``share`` of its class, in seeded order.
+
+    Only rows for which ``among`` holds are counted and can be in. A class with n rows
+    gives floor(share * n + 0.5); rows that repeat a key are on one side together, so
+    they may add to that. No row is ranked or shuffled but those around the cut; the cuts,
+    one row a class, are written and reach all tasks by broadcast.
+    """
+    cut = materialise(class_cut(df.where(among), label, key, seed, share, digits), "split-cut")
+    rows = _hashed(df, label, key, seed, digits).join(F.broadcast(cut), "_own", "left")
+    upto = f"coalesce(named_struct('_hash', _hash, '_key', {key}) <= _cut, false)"
+    return rows.selectExpr(*df.columns, f"coalesce({among}, false) AND {upto} AS {name}")
+
+
 def class_rank(
     df: DataFrame, label: str, key: str, seed: int | str, digits: int = 3
 ) -> DataFrame:
@@ -223,10 +270,7 @@ def class_rank(
     they are the buckets: a class of any size spreads over 16**digits tasks.
     Adds ``class_rank`` and ``class_size``.
     """
-    hashed = df.selectExpr(
-        "*", f"md5(concat({quoted(str(seed))}, ':', coalesce(cast({key} AS string), ''))) AS _hash", f"struct({label}) AS _own"
-    ).selectExpr("*", f"substring(_hash, 1, {digits}) AS _slot")
-    # As a struct, a NULL label is a class like any other: no row is lost by the join.
+    hashed = _hashed(df, label, key, seed, digits)
     keys = ["_own", "_slot"]
     before = "(PARTITION BY _own ORDER BY _slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     offsets = hashed.groupBy(*keys).agg(F.expr("count(*) AS _in")).selectExpr(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlab.operators.ordered import BUCKET, class_rank, exact_quantiles, running_totals, with_buckets
+from cohortlab.operators.ordered import BUCKET, class_rank, exact_quantiles, first_share, running_totals, with_buckets
 
 
 def skewed(n=4000, seed=3):
@@ -76,3 +76,26 @@ def test_class_rank_is_a_permutation_per_class(spark):
         assert {r.class_size for r in rows if r.y == y} == {len(ranks)}
     again = class_rank(df.repartition(5), "y", "id", 42, digits=3)
     assert {r.id: r.class_rank for r in rows} == {r.id: r.class_rank for r in again.collect()}
+
+
+@pytest.mark.parametrize("share,digits", [(0.2, 1), (0.2, 3), (0.0, 2), (1.0, 2), (0.001, 2), (0.5, 2)])
+def test_first_share_is_the_first_ranks(spark, share, digits):
+    df = spark.sql("SELECT id, CASE WHEN id % 7 = 0 THEN 1 WHEN id % 11 = 0 THEN NULL ELSE 0 END AS y, id % 3 > 0 AS use FROM range(500)")
+    ranked = class_rank(df.where("use"), "y", "id", 42).where(f"class_rank <= floor({share}D * class_size + 0.5D)")
+    out = first_share(df, "y", "id", 42, share, "chosen", among="use", digits=digits)
+    assert out.columns == ["id", "y", "use", "chosen"] and out.count() == 500
+    assert {r.id for r in out.where("chosen").collect()} == {r.id for r in ranked.collect()}
+
+
+def test_first_share_of_odd_rows(spark):
+    none = spark.createDataFrame([], "id int, y int")
+    assert first_share(none, "y", "id", 42, 0.2, "chosen").count() == 0
+    rows = spark.createDataFrame([(None, 0), (None, 0), (1, 0), (1, 0), (2, None)], "id int, y int")
+    out = first_share(rows, "y", "id", 42, 0.5, "chosen").collect()
+    assert len(out) == 5 and len({(r.id, r.y, r.chosen) for r in out}) == 3  # repeats of a key are on one side
+
+
+def test_first_share_shuffles_no_rows(spark):
+    df = spark.range(1000).selectExpr("id", "id % 2 AS y")
+    plan = first_share(df, "y", "id", 42, 0.2, "chosen")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
