@@ -47,7 +47,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_copies), ("mixing", mix), ("packing", packed)]
 
-#: Tokens and fingerprints are not for SQL. The stages' operators have tests of their own.
+#: Tokens and fingerprints are not for SQL. A test holds each stage against SQL or plain Python.
 ORACLE_SQL = None
 
 
