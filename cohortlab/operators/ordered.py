@@ -239,7 +239,7 @@ def class_cut(df: DataFrame, label: str, key: str, seed: int | str, share: float
         f"floor({float(share)!r}D * sum(_in) OVER (PARTITION BY _own) + 0.5D) AS _take",
     ).where("_take > _upto - _in AND _take <= _upto").selectExpr("_own", "_slot", "_take - _upto + _in AS _rest")
     inside = "(PARTITION BY _own, _slot ORDER BY _hash, _key)"
-    placed = hashed.join(F.broadcast(edge), ["_own", "_slot"]).selectExpr(
+    placed = hashed.join(materialise(edge, "split-edge"), ["_own", "_slot"]).selectExpr(
         "_own", "_rest", "named_struct('_hash', _hash, '_key', _key) AS _cut", f"row_number() OVER {inside} AS _nth"
     )
     return placed.where("_nth = _rest").select("_own", "_cut")
@@ -253,10 +253,10 @@ def first_share(
     Only rows for which ``among`` holds are counted and can be in. A class with n rows
     gives floor(share * n + 0.5); rows that repeat a key are on one side together, so
     they may add to that. No row is ranked or shuffled but those around the cut; the cuts,
-    one row a class, are written and reach all tasks by broadcast.
+    one row a class, are written, so that Spark broadcasts them by their size.
     """
     cut = materialise(class_cut(df.where(among), label, key, seed, share, digits), "split-cut")
-    rows = _hashed(df, label, key, seed, digits).join(F.broadcast(cut), "_own", "left")
+    rows = _hashed(df, label, key, seed, digits).join(cut, "_own", "left")
     upto = f"coalesce(named_struct('_hash', _hash, '_key', {key}) <= _cut, false)"
     return rows.selectExpr(*df.columns, f"coalesce({among}, false) AND {upto} AS {name}")
 
