@@ -99,3 +99,58 @@ def test_cluster_without_a_folder_is_refused():
 
     with pytest.raises(ValueError):
         session.shared_folder(Fake())
+
+
+def stays_folder(spark, folder):
+    """400 orders, a third of them of customer 0; a customer that comes twice, keys that are null or unmatched."""
+    spark.range(400).selectExpr(
+        "id AS o_orderkey", "CASE WHEN id % 3 = 0 THEN 0 WHEN id = 1 THEN NULL WHEN id = 2 THEN 999 ELSE id % 40 END AS o_custkey",
+        "'F' AS o_orderstatus", "100000D AS o_totalprice", "'LOW' AS o_orderpriority").write.parquet(f"{folder}/orders.parquet")
+    spark.range(40).selectExpr("CASE WHEN id = 7 THEN NULL WHEN id = 39 THEN 5 ELSE id END AS c_custkey", "cast(id % 25 AS int) AS c_nationkey",
+                               "cast(id AS double) AS c_acctbal").write.parquet(f"{folder}/customer.parquet")
+    return standin.tables(spark, folder).patient
+
+
+def nodes(plan, kind):
+    """The nodes of a kind in the plan that ran, those of finished stages included."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else []
+    inner += [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan] * (name == kind) + [x for p in inner for x in nodes(p, kind)]
+
+
+def test_customers_meet_their_orders_once(spark, tmp_path):
+    """No customer is repeated on its way to the join: what the driver gathers to broadcast is the table itself."""
+    patient = stays_folder(spark, str(tmp_path))
+    got = sorted((r.patientunitstayid, r.patienthealthsystemstayid, r.hospitalid) for r in patient.collect())
+    own = {}
+    for i in range(40):
+        own.setdefault(None if i == 7 else 5 if i == 39 else i, []).append(i % 25)
+    keys = [(i, 0 if i % 3 == 0 else None if i == 1 else 999 if i == 2 else i % 40) for i in range(400)]
+    assert got == sorted((i, c, n) for i, c in keys if c is not None for n in own.get(c, []))
+    sent = nodes(patient._jdf.queryExecution().executedPlan(), "BroadcastExchangeExec")
+    assert [x.metrics().apply("numOutputRows").value() for x in sent] == [39]  # one has no key
+
+
+def test_a_busy_customer_is_split_under_an_aggregate(spark, tmp_path):
+    """Without a broadcast, the partition of a customer with a third of all orders is read by several tasks,
+    though rows are next collected by customer."""
+    folder = str(tmp_path)
+    stays_folder(spark, folder)
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
+    spark.range(0, 300_000, 1, 12).selectExpr(
+        "id AS o_orderkey", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 40 END AS o_custkey", "'F' AS o_orderstatus",
+        "100000D AS o_totalprice", "md5(cast(id AS string)) AS o_orderpriority").write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    before = {c: spark.conf.get(c, None) for c in small}
+    try:
+        for c, x in small.items():
+            spark.conf.set(c, x)
+        patient = standin.tables(spark, folder).patient
+        busy = patient.groupBy("patienthealthsystemstayid").agg({"unittype": "max"})
+        rows = busy.collect()
+        joins = nodes(busy._jdf.queryExecution().executedPlan(), "SortMergeJoinExec")
+    finally:
+        for c, x in before.items():
+            spark.conf.unset(c) if x is None else spark.conf.set(c, x)
+    assert len(rows) == 38 and [x.isSkewJoin() for x in joins] == [True]
