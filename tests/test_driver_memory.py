@@ -9,6 +9,7 @@ from cohortlab.session import Written
 
 STAYS = [
     "attributions",
+    "batch_score_bands",
     "extreme_reasons",
 ]
 
