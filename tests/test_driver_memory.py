@@ -11,6 +11,7 @@ STAYS = [
     "attributions",
     "batch_score_bands",
     "demo_model",
+    "describe_vitals",
     "extreme_reasons",
 ]
 
