@@ -14,6 +14,7 @@ STAYS = [
     "demo_model",
     "describe_vitals",
     "extreme_reasons",
+    "feature_coverage",
 ]
 
 
