@@ -10,6 +10,7 @@ from cohortlab.session import Written
 STAYS = [
     "attributions",
     "batch_score_bands",
+    "bp_features",
     "complete_vitals",
     "demo_model",
     "describe_vitals",
