@@ -13,6 +13,7 @@ STAYS = [
     "bp_features",
     "complete_vitals",
     "demo_model",
+    "describe_hr_readings",
     "describe_vitals",
     "extreme_reasons",
     "feature_coverage",
