@@ -12,6 +12,7 @@ STAYS = [
     "batch_score_bands",
     "bp_features",
     "complete_vitals",
+    "cuff_coverage",
     "demo_model",
     "describe_hr_readings",
     "describe_vitals",
