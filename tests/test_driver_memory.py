@@ -16,6 +16,7 @@ STAYS = [
     "demo_model",
     "describe_hr_readings",
     "describe_vitals",
+    "discover_gcs",
     "discover_temperature",
     "extreme_reasons",
     "feature_coverage",
