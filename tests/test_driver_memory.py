@@ -18,6 +18,7 @@ STAYS = [
     "describe_vitals",
     "discover_gcs",
     "discover_temperature",
+    "extreme_bmi",
     "extreme_reasons",
     "feature_coverage",
 ]
