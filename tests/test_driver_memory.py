@@ -16,6 +16,7 @@ STAYS = [
     "complete_vitals",
     "cuff_coverage",
     "demo_model",
+    "demographics_overview",
     "describe_hr_readings",
     "describe_vitals",
     "discover_gcs",
