@@ -11,6 +11,7 @@ STAYS = [
     "attributions",
     "batch_score_bands",
     "bp_features",
+    "class_balance",
     "cohort",
     "cohort_one_stay",
     "complete_vitals",
