@@ -16,6 +16,7 @@ STAYS = [
     "cohort_one_stay",
     "complete_vitals",
     "cuff_coverage",
+    "dataset_scale",
     "demo_model",
     "demographics_overview",
     "describe_hr_readings",
