@@ -44,6 +44,24 @@ def test_jobs_of_a_sweep_do_not_grow_with_its_rounds(spark, rows):
     assert n < 40  # six series; with a fit a series and round there were more than 72
 
 
+def test_jobs_over_many_blocks_do_not_grow_with_the_rounds(spark, rows):
+    data, bins = rows
+    series = stepwise.fold_series(trees.Boosting("own", 12, 0.1, 8, 15), 3)
+    n, grown = jobs(spark, "blocks", lambda: stepwise.grow(data, series, 99, bins, *WAYS["many blocks"]))
+    assert grown.stops["own"].round == 12
+    assert n < 30  # with a fit a series and round there were more than 36
+
+
+def test_gradient_is_the_same_in_parts(monkeypatch):
+    rng = np.random.default_rng(9)
+    y, m = rng.integers(0, 2, 500).astype(float), rng.normal(size=500)
+    whole = growth.gradient(y, m, False)
+    monkeypatch.setattr(growth, "AT_ONCE", 7)
+    assert (growth.gradient(y, m, False) == whole).all()
+    np.testing.assert_allclose(whole, 4 * (2 * y - 1) / (1 + np.exp(2 * (2 * y - 1) * m)), rtol=1e-12)
+    assert (growth.gradient(y, m, True) == 2 * y - 1).all()
+
+
 def test_a_round_over_many_blocks_is_a_job_a_level(spark, rows):
     data, bins = rows
     series = stepwise.fold_series(trees.Boosting("own", 2, 0.1, 8, 15), 3)
